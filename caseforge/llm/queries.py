@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, sentencepiece_codec, simhash
+from . import line_dedup, mixing, quality_rules, sentencepiece_codec, simhash
 from .common import documents
 
 
@@ -28,6 +28,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -36,10 +40,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
     "op5_mixing": op5_mixing,
+    "op7_quality_rules": op7_quality_rules,
     "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.SQL,
     "op5_mixing": mixing.SQL,
+    "op7_quality_rules": quality_rules.SQL,
 }
