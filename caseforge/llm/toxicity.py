@@ -30,9 +30,10 @@ UNLABELLED = 6000
 #: Features kept for training, by how much likelier they are in positives.
 FEATURES = 20_000
 #: A feature counts if it is so many times likelier in positives than in unlabelled texts (as a share
-#: of 1 / prior, which a purely toxic feature reaches), and if its log-likelihood ratio exceeds EVIDENCE.
+#: of 1 / prior, which a purely toxic feature reaches), and if its log-likelihood ratio exceeds the first
+#: number of EVIDENCE plus the second one for each positive (copies in the sample lend rare words weight).
 LIFT_SHARE = 0.6
-EVIDENCE = 20.0
+EVIDENCE = (12.0, 0.02)
 #: So many characters of a word's opening are a feature of their own.
 OPENINGS = (4, 5, 6)
 THRESHOLD = 0.7
@@ -95,7 +96,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     lift = (counts / len(positive)) / ((base + 0.5) / len(unlabelled))
     expected = (counts + base) * (len(positive) / (len(positive) + len(unlabelled)))
     gain = 2 * (counts * np.log(counts / expected) + base * np.log(np.maximum(base, 1e-9) / (counts + base - expected)))
-    chosen = np.flatnonzero((lift >= LIFT_SHARE / prior) & (gain >= EVIDENCE))
+    chosen = np.flatnonzero((lift >= LIFT_SHARE / prior) & (gain >= EVIDENCE[0] + EVIDENCE[1] * len(positive)))
     chosen = np.sort(chosen[np.argsort(-gain[chosen], kind="stable")[:FEATURES]])
     names = names[chosen]
 
