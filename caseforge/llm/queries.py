@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, mixing, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from . import language_id, line_dedup, mixing, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, toxicity
 from .common import documents
 
 
@@ -41,6 +41,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
