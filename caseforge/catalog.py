@@ -1,4 +1,4 @@
-"""All queries of the engine and their SQL."""
+"""All queries of the engine and their SQL, gathered from the areas."""
 
 from __future__ import annotations
 
@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .queries import assessment, base, learning, preparation
+
+_AREAS = (learning, base, preparation, assessment)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for a in _AREAS for k, v in a.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for a in _AREAS for k, v in a.ORACLES.items()}
