@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, mixing, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, toxicity
+from . import language_id, line_dedup, media_copies, mixing, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, toxicity
 from .common import documents
 
 
@@ -37,6 +37,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op6_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images, so the embeddings are drawn as pictures, every tenth one a second time as an edited copy."""
+    return media_copies.copies(media_copies.drawn(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
+    "op6_media_copies": op6_media_copies,
     "op7_quality_rules": op7_quality_rules,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
