@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import interpret, more_prep, prep, tuning
+from ..operators import interpret, more_prep, prep, select, tuning
 from ..sources.tables import CASES_SQL, SCORES_SQL, cases, cases_long, scores, table
 
 QUERIES = {}
@@ -171,3 +171,45 @@ def _(spark, sf):
 def _(spark, sf):
     o = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 40).alias("a"), (F.col("o_orderkey") % 40).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("w"))
     return interpret.strongest(o, 0.1)
+
+
+# ---- step by step selection
+def _feast(criterion: str):
+    def run(spark, sf):
+        d = cases_long(spark, sf).filter("value is not null and feat in ('x1', 'x2', 'x3')").select("case_id", "cls", "feat", F.floor("value").cast("double").alias("value"))
+        relevance, pairs = select.information_tables(d, "case_id", "cls")
+        return spark.createDataFrame(list(enumerate(select.by_information(relevance, pairs, 3, criterion), 1)), "place int, feat string")
+
+    return run
+
+
+for _criterion in select.CRITERIA:
+    query(f"select_{_criterion}")(_feast(_criterion))
+
+
+def _auc_of(learners: str) -> str:
+    return f"""SELECT '{learners}' AS s, (sum(r) FILTER (y > 0) - count(*) FILTER (y > 0) * (count(*) FILTER (y > 0) + 1) / 2.0::DOUBLE) / (count(*) FILTER (y > 0) * count(*) FILTER (y < 0)) AS auc
+      FROM (SELECT y, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS r FROM (SELECT y, round(sum(score), 9)::FLOAT AS v FROM scores WHERE learner IN ({learners}) GROUP BY case_id, y))"""
+
+
+_ONE = " UNION ALL ".join(_auc_of(str(k)) for k in range(1, 6))
+
+
+@query("wrap_forward_first", f"WITH {SCORES_SQL}, a AS ({_ONE}) SELECT CAST(s AS BIGINT) AS learner, round(auc, 6) AS auc FROM a ORDER BY round(auc, 9) DESC, s LIMIT 1")
+def _(spark, sf):
+    found = select.forward(scores(spark, sf), "case_id", "learner", "score", "y", 1)
+    return spark.createDataFrame(found, "learner long, auc double").withColumn("auc", R("auc"))
+
+
+@query("wrap_forward")
+def _(spark, sf):
+    found = select.forward(scores(spark, sf), "case_id", "learner", "score", "y", 3)
+    return spark.createDataFrame([(i + 1, int(x), float(a)) for i, (x, a) in enumerate(found)], "place int, learner long, auc double")
+
+
+_FOUR = " UNION ALL ".join(_auc_of(", ".join(str(j) for j in range(1, 6) if j != k)) for k in range(1, 6))
+
+
+@query("wrap_backward_first", f"WITH {SCORES_SQL}, a AS ({_FOUR}), b AS (SELECT s FROM a ORDER BY round(auc, 9) DESC, s DESC LIMIT 1) SELECT CAST(unnest(string_split(s, ', ')) AS BIGINT) AS learner FROM b")
+def _(spark, sf):
+    return spark.createDataFrame([(x,) for x in select.backward(scores(spark, sf), "case_id", "learner", "score", "y", 4)], "learner long")
