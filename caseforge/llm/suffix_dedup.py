@@ -7,29 +7,30 @@ suffixes would move the corpus many times over, so only those are sorted that ca
    pieces, the first of equal ones. Equal windows have it at the same offset, so windows fall into
    runs that share a minimizer, and two equal windows lie at the same distances from equal bytes.
    Each run sends digests of the bytes that all its near or far windows share; runs whose digest
-   occurs once have no repeated window.
-2. Runs left over are cut into blocks of 16 window starts at fixed distances from the minimizer.
-   A block's windows share a core of `length` - 15 bytes: its suffix, with up to 15 bytes on
-   either side. Equal (core, sides) are counted before the shuffle.
-3. Suffixes are range-partitioned by their leading bytes at sampled splitters, equal leaders by
-   the rest, so that one core may lie in many buckets. Each bucket sorts by multikey quicksort
-   over 8-byte tokens and compares neighbours. What it can't decide alone, its first and last
-   core, is compared across the boundaries as one row each.
-4. A core with one pair of sides decides for all its windows. Only where the sides differ (at the
-   ends of a repeated passage) are single windows counted.
-
-Repeated windows come back as spans by text and are cut out. Digests are 128 bits long; the
-leading 24 bytes of a suffix are compared themselves.
+   occurs once have no repeated window. Of equal texts one stands for all.
+2. Runs left over are cut into blocks of 32 window starts at fixed distances from the minimizer.
+   A block's windows share a core of `length` - 31 bytes: its suffix, with up to 31 bytes on
+   either side. Its key has the suffix's first 8 bytes, a 128-bit digest of the core, and the sides.
+3. Keys are range-partitioned at splitters drawn from a bounded sample, with the text's number
+   behind the key, so that one core may lie in many buckets. Each bucket sorts its keys by
+   multikey quicksort over 8-byte tokens and compares neighbours. A core whose blocks have equal
+   sides decides for all its windows at once, otherwise its single windows are counted.
+4. A bucket's first and last core may go on beyond it. Their blocks are compared across the
+   boundaries, window by window, in an aggregation that is combined before its shuffle.
+
+Repeated windows come back as spans by text and are cut out.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,9 @@ from .common import text_or_empty, written
 
 LENGTH = 400
 PIECE = 8
-BLOCK = 16
+BLOCK = 32
+#: Texts and keys a text that splitters are drawn from, and blocks that a bucket is meant to hold.
+SAMPLE_TEXTS, SAMPLE_KEYS, BUCKET_ROWS = 2000, 64, 60_000
 #: Bytes of text whose windows are found at once.
 CHUNK = 4_000_000
 #: Segments below this size are ordered directly.
@@ -162,19 +165,31 @@ def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def _sides(left: bytes, right: bytes) -> bytes:
-    return bytes([len(left) * BLOCK + len(right)]) + left + right
+KEY = 8 + 16 + 2 + 2 * (BLOCK - 1)  # bytes of a key; a multiple of 8
+CORE = 24
 
 
-def _windows(sides: bytes) -> Iterator[tuple[int, bytes]]:
+def _key(core: bytes, left: bytes, right: bytes) -> bytes:
+    return b"".join((core[:8], _digest(core), bytes((len(left), len(right))), left.rjust(BLOCK - 1, b"\0"), right.ljust(BLOCK - 1, b"\0")))
+
+
+def _windows(key: bytes) -> Iterator[tuple[int, bytes]]:
     """How far each window of a block begins before the suffix, and what it holds beside the core."""
-    cut = 1 + sides[0] // BLOCK
-    left, right = sides[1:cut], sides[cut:]
-    for x in range(BLOCK - 1 - len(right), len(left) + 1):
-        yield x, left[len(left) - x :] + right[: BLOCK - 1 - x]
+    m, n = key[CORE], key[CORE + 1]
+    both = key[CORE + 2 :]
+    for x in range(BLOCK - 1 - n, m + 1):
+        yield x, both[BLOCK - 1 - x : 2 * (BLOCK - 1) - x]
 
 
-BLOCKS_SCHEMA = "lead binary, core binary, sides binary, n long, th binary, place long"
+def _stretches(xs: list[int]) -> list[tuple[int, int]]:
+    """Runs of consecutive numbers of an ascending list."""
+    out: list[list[int]] = []
+    for x in xs:
+        if out and out[-1][1] == x - 1:
+            out[-1][1] = x
+        else:
+            out.append([x, x])
+    return [(a, b) for a, b in out]
 
 
 def _texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -190,7 +205,7 @@ def _arrow(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 
 def _scan(df: DataFrame, length: int) -> DataFrame:
-    """Every run of every text: th, doc_id, head (a text's first row), digest, low, first, last."""
+    """Every run of every text: th, doc_id, head (1 in a text's first row), digest, run (place and the distances to its windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,26 +221,28 @@ def _scan(df: DataFrame, length: int) -> DataFrame:
                 which, low, first, last = (x.tolist() for x in runs_of(texts, length))
                 rows, seen = [], set()
                 for t, m, p, q in zip(which, low, first, last, strict=True):
+                    packed = m << 20 | (m - q) << 10 | (m - p)
                     for d in run_digests(texts[t], m, p, q, length):
-                        rows.append((names[t], ids[t], 0 if t in seen else 1, d - (1 << 64) if d >> 63 else d, m, p, q))
+                        rows.append((names[t], ids[t], 0 if t in seen else 1, d - (1 << 64) if d >> 63 else d, packed))
                         seen.add(t)
                 if rows:
-                    yield _arrow(rows, ["th", "doc_id", "head", "digest", "low", "first", "last"], [pa.binary(), *[pa.int64()] * 6])
+                    yield _arrow(rows, ["th", "doc_id", "head", "digest", "run"], [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64()])
 
-    return df.mapInArrow(run, "th binary, doc_id long, head long, digest long, low long, first long, last long")
+    return df.mapInArrow(run, "th binary, doc_id long, head int, digest long, run long")
 
 
 def _named(df: DataFrame) -> DataFrame:
-    """Adds th, the digest of the text."""
+    """th (the digest of the text), doc_id, and the text packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                names = pa.array([_digest(t.as_py().encode("utf-8", "replace")) for t in part.column(1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, names], names=["doc_id", "text", "th"])
+                raw = [t.as_py().encode("utf-8", "replace") for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(t) for t in raw], pa.binary()), part.column(0), pa.array([pack(t) for t in raw], pa.binary())], names=["th", "doc_id", "packed"])
 
-    return df.mapInArrow(run, "doc_id long, text string, th binary")
+    return df.mapInArrow(run, "th binary, doc_id long, packed binary")
 
 
 def _whole(df: DataFrame) -> DataFrame:
@@ -242,123 +259,182 @@ def _whole(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, th binary, n_bytes long, sha256 string")
 
 
-def _blocks(texts: DataFrame, length: int) -> DataFrame:
+def _text_blocks(raw: bytes, runs: list[int], length: int) -> dict[bytes, list[int]]:
+    """Places of each different key of a text."""
+    out: dict[bytes, list[int]] = {}
+    for r in runs:
+        low = r >> 20
+        for s, core, left, right in blocks_of(raw, low, low - (r & 1023), low - (r >> 10 & 1023), length):
+            out.setdefault(_key(core, left, right), []).append(s)
+    return out
+
+
+def _splitters(texts: DataFrame, length: int) -> list[bytes]:
+    """Keys (with text numbers) that cut the blocks into buckets, from a sample of bounded size."""
+    total = texts.count()
+    if not total:
+        return []
+    share = min(1.0, SAMPLE_TEXTS / total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys = sorted(_text_blocks(unpack(row["packed"]), row["runs"], length))
+                step = max(1, -(-len(keys) // SAMPLE_KEYS))
+                own = keys[::step]
+                yield _arrow([(k + row["tid"].to_bytes(8, "big"), len(keys) / len(own)) for k in own], ["k", "w"], [pa.binary(), pa.float64()])
+
+    place = F.pmod(F.xxhash64("tid", F.lit("splitters")), F.lit(1 << 30))
+    drawn = texts.filter(place < F.lit(int(share * (1 << 30)) + 1)).select("tid", "packed", "runs").mapInArrow(run, "k binary, w double")
+    rows = sorted((bytes(r["k"]), r["w"]) for r in drawn.collect())
+    if not rows:
+        return []
+    weight = np.cumsum([w for _, w in rows])
+    buckets = int(weight[-1] / share / BUCKET_ROWS) + 1
+    cuts = np.searchsorted(weight, weight[-1] * np.arange(1, buckets) / buckets)
+    return sorted({rows[min(c, len(rows) - 1)][0] for c in cuts.tolist()})
+
+
+def _blocks(texts: DataFrame, splitters: list[bytes], length: int) -> DataFrame:
+    """bucket, key, n (2 for copies), tid, places (packed): a row for each different key of a text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["lead", "core", "sides", "n", "th", "place"], [pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
+        unpack = zstandard.ZstdDecompressor().decompress
+        names, kinds = ["bucket", "key", "n", "tid", "places"], [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 rows = []
                 for row in batch.slice(i, 64).to_pylist():
-                    raw = row["text"].encode("utf-8", "replace")
-                    for r in row["runs"]:
-                        for s, core, left, right in blocks_of(raw, r["low"], r["first"], r["last"], length):
-                            rows.append((core[:24], _digest(core), _sides(left, right), row["n"], row["th"], s))
+                    number = row["tid"].to_bytes(8, "big")
+                    for key, at in _text_blocks(unpack(row["packed"]), row["runs"], length).items():
+                        rows.append((bisect_right(splitters, key + number), key, min(2, row["n"] * len(at)), row["tid"], np.array(at, dtype=np.int64).tobytes()))
                 if rows:
                     yield _arrow(rows, names, kinds)
 
-    return texts.select("th", "text", "n", "runs").mapInArrow(run, BLOCKS_SCHEMA)
+    return texts.select("tid", "packed", "n", "runs").mapInArrow(run, "bucket int, key binary, n long, tid long, places binary")
 
 
-def _tokens(lead: list[bytes], core: list[bytes], sides: list[bytes]) -> np.ndarray:
-    raw = b"".join(a.ljust(24, b"\0") + b + c.ljust(2 * BLOCK, b"\0") for a, b, c in zip(lead, core, sides, strict=True))
-    return np.frombuffer(raw, dtype=">u8").reshape(len(lead), -1).astype(np.uint64)
+_FOUND = "edge boolean, key binary, n long, tid long, at binary"
 
 
-def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts a bucket of (lead, core, sides, n) and compares neighbours.
+def _spans(places: bytes, stretches: list[tuple[int, int]]) -> bytes:
+    """First and last start of each stretch of windows before each place, packed."""
+    p = np.frombuffer(places, dtype=np.int64)
+    return np.stack([np.concatenate([p - b for _, b in stretches]), np.concatenate([p - a for a, _ in stretches])], axis=1).tobytes()
 
-    One row for each core: how many suffixes it has here (2 stands for more), whether all have the
-    same sides, and those sides. Cores inside the bucket are whole; the first and the last may go
-    on beyond it, which the caller settles.
-    """
-    table = pa.Table.from_batches(batches, schema=pa.schema([("lead", pa.binary()), ("core", pa.binary()), ("sides", pa.binary()), ("n", pa.int64())]))
+
+def _even(key: bytes) -> list[tuple[int, int]]:
+    return [(BLOCK - 1 - key[CORE + 1], key[CORE])]
+
+
+def _repeated(members: dict[bytes, int]) -> dict[bytes, list[tuple[int, int]]]:
+    """For each key of one core: the stretches of its windows that are there twice."""
+    total: dict[tuple[int, bytes], int] = {}
+    for key, n in members.items():
+        for w in _windows(key):
+            total[w] = total.get(w, 0) + n
+    return {key: _stretches([w[0] for w in _windows(key) if total[w] > 1]) for key in members}
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorts each bucket and compares neighbours: spans of repeated windows, and the blocks of its first and last core."""
+    kinds = [("bucket", pa.int32()), ("key", pa.binary()), ("n", pa.int64()), ("tid", pa.int64()), ("places", pa.binary())]
+    table = pa.Table.from_batches(batches, schema=pa.schema(kinds)).combine_chunks()
     if not table.num_rows:
         return
-    lead, core, sides = (table.column(k).to_pylist() for k in range(3))
-    n = table.column(3).to_numpy()
-    keys = _tokens(lead, core, sides)
-    order = multikey_quicksort(keys)
-    near = keys[order]
-    new_core = np.concatenate([[True], (near[1:, :5] != near[:-1, :5]).any(axis=1)])
-    new_sides = new_core | np.concatenate([[True], (near[1:, 5:] != near[:-1, 5:]).any(axis=1)])
-    first = np.flatnonzero(new_core)
-    total = np.minimum(np.add.reduceat(n[order], first), 2)
-    kinds = np.add.reduceat(new_sides.astype(np.int64), first)
-    edge = np.zeros(len(first), dtype=bool)
-    edge[[0, -1]] = True
-    keep = (total > 1) | (kinds > 1) | edge
-    rows = order[first[keep]]
-    for a in range(0, len(rows), 50_000):
-        own = rows[a : a + 50_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([core[i] for i in own], pa.binary()), pa.array(total[keep][a : a + 50_000]), pa.array(kinds[keep][a : a + 50_000]), pa.array([sides[i] for i in own], pa.binary())], names=["core", "n", "kinds", "sides"]
-        )
-
-
-def _explode_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single windows of blocks: digest of the window's content, and the block's sides and distance."""
+    bucket, n, tid = (table.column(c).to_numpy() for c in ("bucket", "n", "tid"))
+    column, places = table.column("key"), table.column("places")
+    keys = np.concatenate([np.frombuffer(c.buffers()[2], dtype=np.uint8)[c.offset * KEY : (c.offset + len(c)) * KEY] for c in column.chunks])
+    tokens = keys.view(">u8").reshape(len(n), KEY // 8).astype(np.uint64)
+    rows: list[tuple] = []
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[by])) + 1, [len(by)]])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = by[a:b]
+        own = own[multikey_quicksort(tokens[own])]
+        near = tokens[own]
+        new_core = np.concatenate([[True], (near[1:, : CORE // 8] != near[:-1, : CORE // 8]).any(axis=1)])
+        new_key = new_core | np.concatenate([[True], (near[1:] != near[:-1]).any(axis=1)])
+        first = np.flatnonzero(new_core)
+        last = np.concatenate([first[1:], [len(own)]])
+        total, different = np.add.reduceat(n[own], first), np.add.reduceat(new_key.astype(np.int64), first)
+        edge = np.zeros(len(first), dtype=bool)
+        edge[[0, -1]] = True
+        for k in np.flatnonzero(edge | (total > 1)).tolist():
+            mine = own[first[k] : last[k]].tolist()
+            names = [column[i].as_py() for i in mine]
+            if edge[k]:
+                rows += [(True, key, int(n[i]), int(tid[i]), places[i].as_py()) for i, key in zip(mine, names, strict=True)]
+            elif different[k] == 1:
+                found = _even(names[0])
+                rows += [(False, None, 0, int(tid[i]), _spans(places[i].as_py(), found)) for i in mine]
+            else:
+                members: dict[bytes, int] = {}
+                for i, key in zip(mine, names, strict=True):
+                    members[key] = members.get(key, 0) + int(n[i])
+                stretches = _repeated(members)
+                rows += [(False, None, 0, int(tid[i]), _spans(places[i].as_py(), stretches[key])) for i, key in zip(mine, names, strict=True) if stretches[key]]
+            if len(rows) >= 20_000:
+                yield _arrow(rows, ["edge", "key", "n", "tid", "at"], [pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary()])
+                rows = []
+    if rows:
+        yield _arrow(rows, ["edge", "key", "n", "tid", "at"], [pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary()])
+
+
+def _edge_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1000):
+            part = batch.slice(i, 1000)
+            rows = [(key, x, _digest(key[:CORE] + w + bytes((x,))), n) for key, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for x, w in _windows(key)]
+            if rows:
+                yield _arrow(rows, ["key", "x", "window", "n"], [pa.binary(), pa.int32(), pa.binary(), pa.int64()])
+
+
+def _edge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        core, sides = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        n = batch.column(2).to_pylist()
-        rows = [(c, x, w, s, k) for c, s, k in zip(core, sides, n, strict=True) for x, w in _windows(s)]
-        for a in range(0, len(rows), 50_000):
-            c, x, w, s, k = zip(*rows[a : a + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(x, pa.int64()), pa.array(w, pa.binary()), pa.array(s, pa.binary()), pa.array(k, pa.int64())], names=["core", "x", "window", "sides", "n"])
+        rows = [(t, _spans(p, _stretches(sorted(xs)))) for t, p, xs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        if rows:
+            yield _arrow(rows, ["tid", "at"], [pa.int64(), pa.binary()])
 
 
 def candidates(own: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row for each different text that shares a run's digest with any other place: th, text, n (2 for copies), runs.
+    """One row for each different text that shares a run's digest with any other place: tid, th, packed, n (2 for copies), runs.
 
     Of copies the one with the least doc_id stands for all; the join on (text digest, doc_id) deals them out.
     """
     runs, path = written(_scan(own, length), "runs")
     often = runs.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest")
     held = runs.join(often, "digest", "left_semi")
-    by_text = held.groupBy("th").agg(F.collect_set(F.struct("low", "first", "last")).alias("runs"), F.min("doc_id").alias("least"), F.least(F.greatest(F.sum("head"), F.lit(1)), F.lit(2)).alias("n"))
+    by_text = held.groupBy("th").agg(F.collect_set("run").alias("runs"), F.min("doc_id").alias("least"), F.least(F.greatest(F.sum("head"), F.lit(1)), F.lit(2)).alias("n"))
     by_text, _ = written(by_text.withColumnRenamed("th", "of"), "texts")
     forget(own.sparkSession, path)
-    named = _named(own)
-    found = named.join(by_text, (F.col("th") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
-    return written(found.select("th", "text", "n", "runs"), "candidates")[0]
+    found = _named(own).join(by_text, (F.col("th") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    return written(found.select(F.monotonically_increasing_id().alias("tid"), "th", "packed", "n", "runs"), "candidates")[0]
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(th, starts) of candidate texts with repeated windows: where such windows start, as [a, b] pairs."""
-    blocks, _ = written(_blocks(texts, length), "blocks")
-    members = blocks.groupBy("lead", "core", "sides").agg(F.sum("n").alias("n"))
-    ranged = members.repartitionByRange("lead", "core", "sides")
-    local = ranged.select("lead", "core", "sides", "n").mapInArrow(_bucket, "core binary, n long, kinds long, sides binary")
-    # across boundaries: a core that several buckets hold has a row from each
-    cores = local.groupBy("core").agg(F.sum("n").alias("n"), F.max("kinds").alias("kinds"), F.min("sides").alias("a"), F.max("sides").alias("b")).filter("n > 1")
-    cores, _ = written(cores.select("core", ((F.col("kinds") == 1) & (F.col("a") == F.col("b"))).alias("even")), "cores")
-    whole = blocks.join(cores.filter("even"), "core", "left_semi")
-    mixed = blocks.join(cores.filter("not even"), "core", "left_semi").groupBy("core", "sides").agg(F.sum("n").alias("n"))
-    windows, _ = written(mixed.mapInArrow(_explode_windows, "core binary, x long, window binary, sides binary, n long"), "windows")
-    twice = windows.groupBy("core", "x", "window").agg(F.sum("n").alias("c")).filter("c > 1").select("core", "x", "window")
-    xs = windows.join(twice, ["core", "x", "window"], "left_semi").groupBy("core", "sides").agg(F.collect_set("x").alias("xs"))
-    some = blocks.join(xs, ["core", "sides"]).select("th", F.explode("xs").alias("x"), "place")
-    some = some.select("th", F.struct((F.col("place") - F.col("x")).alias("a"), (F.col("place") - F.col("x")).alias("b")).alias("s"))
-    sizes = F.conv(F.hex(F.substring("sides", 1, 1)), 16, 10).cast("long")
-    left, right = F.floor(sizes / BLOCK), sizes % BLOCK
-    full = whole.select("th", F.struct((F.col("place") - left).alias("a"), (F.col("place") - (F.lit(BLOCK - 1) - right)).alias("b")).alias("s"))
-    return full.unionByName(some).groupBy("th").agg(F.collect_set("s").alias("starts"))
-
-
-def _cut(text: bytes, starts: list[dict[str, int]], length: int) -> tuple[int, int, bytes]:
+    """(tid, starts) of candidate texts with repeated windows: packed pairs of the first and last start of stretches of such windows."""
+    dealt = _blocks(texts, _splitters(texts, length), length).repartition("bucket")
+    found, _ = written(dealt.mapInArrow(_compare, _FOUND), "found")
+    edges = found.filter("edge")
+    members = edges.groupBy("key").agg(F.sum("n").alias("n"))
+    windows, _ = written(members.mapInArrow(_edge_windows, "key binary, x int, window binary, n long"), "windows")
+    twice = windows.groupBy("window").agg(F.sum("n").alias("c")).filter("c > 1").select("window")
+    xs = windows.join(twice, "window", "left_semi").groupBy("key").agg(F.collect_set("x").alias("xs"))
+    crossed = edges.join(xs, "key").select("tid", "at", "xs").mapInArrow(_edge_spans, "tid long, at binary")
+    return found.filter("not edge").select("tid", "at").unionByName(crossed).groupBy("tid").agg(F.collect_list("at").alias("starts"))
+
+
+def _cut(text: bytes, starts: list[bytes], length: int) -> tuple[int, int, bytes]:
     """Removed bytes, maximal removed runs, and what is left."""
-    spans = sorted((s["a"], s["b"] + length) for s in starts)
-    kept, at, removed, count = [], 0, 0, 0
-    for a, b in spans:
-        if a > at or not count:
-            kept.append(text[at:a])
-            count += 1
-            removed += b - a
-            at = b
-        elif b > at:
-            removed += b - at
-            at = b
-    kept.append(text[at:])
-    return removed, count, b"".join(kept)
+    pairs = np.concatenate([np.frombuffer(s, dtype=np.int64).reshape(-1, 2) for s in starts]) if starts else np.zeros((0, 2), dtype=np.int64)
+    change = np.zeros(len(text) + 1, dtype=np.int64)
+    np.add.at(change, pairs[:, 0], 1)
+    np.add.at(change, pairs[:, 1] + length, -1)
+    gone = np.cumsum(change[:-1]) > 0
+    count = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+    return int(gone.sum()), count, np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
 
 
 def removal_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -369,36 +445,37 @@ def removal_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     table gives an empty result.
     """
     own = _texts(df, doc_id, text)
+    done, _ = written(_kept(own, length, False), "cut")
+    rows = _whole(own).join(done.dropDuplicates(["of"]), F.col("th") == F.col("of"), "left")
+    return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
+
+
+def _kept(own: DataFrame, length: int, whole: bool) -> DataFrame:
+    """of (text digest), n_removed, n_spans, kept_sha256 of the texts that lose bytes; with `whole`, what is left of them too."""
     texts = candidates(own, length)
-    spans = repeated_spans(texts, length).withColumnRenamed("th", "of")
-    cut = texts.join(spans, F.col("th") == F.col("of")).select("th", "text", "starts")
+    spans = repeated_spans(texts, length).withColumnRenamed("tid", "t")
+    cut = texts.select("tid", "th", "packed").join(spans, F.col("tid") == F.col("t")).select("th", "packed", "starts")
+    names, kinds = ["of", "n_removed", "n_spans", "kept_sha256"], [pa.binary(), pa.int64(), pa.int64(), pa.string()]
+    names, kinds = (names + ["kept"], kinds + [pa.binary()]) if whole else (names, kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 rows = []
                 for row in batch.slice(i, 256).to_pylist():
-                    removed, count, kept = _cut(row["text"].encode("utf-8", "replace"), row["starts"], length)
-                    rows.append((row["th"], removed, count, hashlib.sha256(kept).hexdigest()))
+                    removed, count, kept = _cut(unpack(row["packed"]), row["starts"], length)
+                    rows.append((row["th"], removed, count, hashlib.sha256(kept).hexdigest(), *([kept] if whole else [])))
                 if rows:
-                    yield _arrow(rows, ["of", "n_removed", "n_spans", "kept_sha256"], [pa.binary(), pa.int64(), pa.int64(), pa.string()])
+                    yield _arrow(rows, names, kinds)
 
-    done, _ = written(cut.mapInArrow(run, "of binary, n_removed long, n_spans long, kept_sha256 string"), "cut")
-    rows = _whole(own).join(done, F.col("th") == F.col("of"), "left")
-    return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
+    return cut.mapInArrow(run, "of binary, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * whole)
 
 
 def kept_bytes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id and the bytes that are left of each text (binary: a cut may fall inside a character)."""
     own = _texts(df, doc_id, text)
-    spans = repeated_spans(candidates(own, length), length).withColumnRenamed("th", "of")
-    rows = _named(own).join(spans, F.col("th") == F.col("of"), "left").select("doc_id", "text", "starts")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                kept = [_cut(r["text"].encode("utf-8", "replace"), r["starts"] or [], length)[2] for r in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary())], names=["doc_id", "kept"])
-
-    return rows.mapInArrow(run, "doc_id long, kept binary")
+    done = _kept(own, length, True).dropDuplicates(["of"])
+    same = _whole(own).select(F.col("doc_id").alias("d"), "th").distinct()
+    texts = own.join(same, F.col("doc_id").eqNullSafe(F.col("d"))).join(done, F.col("th") == F.col("of"), "left")
+    return texts.select("doc_id", F.coalesce("kept", F.col("text").cast("binary")).alias("kept"))
