@@ -213,3 +213,19 @@ _FOUR = " UNION ALL ".join(_auc_of(", ".join(str(j) for j in range(1, 6) if j !=
 @query("wrap_backward_first", f"WITH {SCORES_SQL}, a AS ({_FOUR}), b AS (SELECT s FROM a ORDER BY round(auc, 9) DESC, s DESC LIMIT 1) SELECT CAST(unnest(string_split(s, ', ')) AS BIGINT) AS learner FROM b")
 def _(spark, sf):
     return spark.createDataFrame([(x,) for x in select.backward(scores(spark, sf), "case_id", "learner", "score", "y", 4)], "learner long")
+
+
+# ---- time windows
+@query("monitor_windows", "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_hit, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def _(spark, sf):
+    from ..streaming import monitor
+
+    e = table(spark, sf, "events").withColumn("hit", F.col("event_type") == "error")
+    return monitor.window_counts(e, "ts", "hit", "value").select(F.unix_timestamp("start").alias("start"), "n", "n_hit", R("mean").alias("mean"))
+
+
+@query("monitor_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def _(spark, sf):
+    from ..streaming import monitor
+
+    return monitor.sessions(table(spark, sf, "events"), "ts", "user_id", "2 hours").select("user_id", "n")
