@@ -216,12 +216,12 @@ def _(spark, sf):
 
 
 # ---- time windows
-@query("monitor_windows", "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_hit, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+@query("monitor_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_hit, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def _(spark, sf):
     from ..streaming import monitor
 
     e = table(spark, sf, "events").withColumn("hit", F.col("event_type") == "error")
-    return monitor.window_counts(e, "ts", "hit", "value").select(F.unix_timestamp("start").alias("start"), "n", "n_hit", R("mean").alias("mean"))
+    return monitor.window_counts(e, "ts", "hit", "value").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "n_hit", R("mean").alias("mean"))
 
 
 @query("monitor_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, count(*) AS n FROM s GROUP BY user_id, k""")
