@@ -33,7 +33,7 @@ ROUNDS = 12
 FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 
 
 def _grams(word: str) -> list[str]:

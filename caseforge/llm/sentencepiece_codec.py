@@ -25,7 +25,7 @@ MARK = "▁"
 _BIG = 1 << 22  # over any symbol number, so that a pair is one integer
 _NONE = np.int64(1) << 40  # rank of a pair that makes no piece
 #: Words kept between batches; the store is emptied beyond it, which changes no result.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 #: Characters handled at once.
 CHUNK = 2_000_000
 #: Rounds in which a word may merge one pair only, before the heap takes over.
@@ -396,6 +396,35 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     return source.mapInArrow(run, f"{schema}, `{text}` string")
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", back: str = "decoded") -> DataFrame:
+    """encode and decode in one pass (one Python worker a task): adds the ids and the text that they decode to.
+
+    Null and empty texts give an empty array and an empty text; columns of the added names are replaced.
+    """
+    kept = [c for c in df.columns if c.lower() not in (ids.lower(), back.lower())]
+    hidden = free_name(df, "_text")
+    source = df.select(*[F.col(f"`{c}`") for c in kept], text_or_empty(f"`{text}`").alias(hidden))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != hidden)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_at(path)
+        encoder = Encoder(model)
+        for batch in batches:
+            start = 0
+            while start < batch.num_rows:
+                texts, held = [], 0
+                while start + len(texts) < batch.num_rows and held < CHUNK:
+                    texts.append(batch.column(len(kept))[start + len(texts)].as_py())
+                    held += len(texts[-1])
+                flat, at = encoder.encode(texts)
+                column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
+                again = pa.array(model.decode(flat, at), pa.string())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, len(texts)) for k in range(len(kept))), column, again], names=[*kept, ids, back])
+                start += len(texts)
+
+    return source.mapInArrow(run, f"{schema}, `{ids}` array<int>, `{back}` string")
+
+
 def codec_digests(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes and decodes each text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256.
 

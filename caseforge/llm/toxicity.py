@@ -69,7 +69,7 @@ class _Scorer:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str) -> float:
-        if len(self.known) > 500_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         known, weights = self.known, self.model.weights
         hit: set[int] = set()

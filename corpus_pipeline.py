@@ -38,8 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, the piece ids, their number, and the text that they decode to."""
-    coded = sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), tokenizer_path())
-    done = sentencepiece_codec.decode(coded, tokenizer_path())
+    done = sentencepiece_codec.round_trip(docs.select("doc_id", "source", "text"), tokenizer_path())
     return done.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
 
