@@ -6,8 +6,10 @@ dropped from all pages of the host.
 
 Each page sends its distinct lines once, as a 128-bit digest, into a count that is combined
 before the shuffle. A host has fewer than (lines a page / ratio) boilerplate lines, so the
-digests of a host fit in one row; pages get that row by a join on the host, dealt over
-`salts` so that a large host isn't one task, and drop the lines in a projection.
+digests of a host fit in one row. The table of hosts with such lines is written; where its
+files are small (checked), it goes to all executors and the texts aren't moved at all,
+otherwise pages get their host's row by a join dealt over salts, so that a large host isn't
+one task. Lines are dropped in a projection.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, table_bytes, written
 
 RATIO = 0.05
 LEAST_PAGES = 3
-SALTS = 64
+#: Bytes of the written table up to which it is broadcast; salts of the join beyond that.
+BROADCAST_BYTES = 16 << 20
+SALTS = 256
 
 
 def _digest(line: Column) -> Column:
@@ -46,9 +50,14 @@ def dedup_lines(df: DataFrame, host: str = "source", text: str = "text", ratio:
     """
     drop, salt = free_name(df, "_drop"), free_name(df, "_salt")
     marked = boilerplate(df, host, text, ratio, least_pages).withColumnRenamed("host", "_of").withColumnRenamed("drop", drop)
-    dealt = marked.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = df.withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(SALTS)).cast("int"))
-    joined = salted.join(dealt, F.col(f"`{host}`").cast("string").eqNullSafe(F.col("_of")) & (F.col(salt) == F.col("_at")), "left")
+    marked, path = written(marked, "boilerplate")
+    same_host = F.col(f"`{host}`").cast("string").eqNullSafe(F.col("_of"))
+    if table_bytes(df.sparkSession, path) <= BROADCAST_BYTES:
+        joined = df.join(F.broadcast(marked), same_host, "left")
+    else:
+        dealt = marked.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = df.withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(SALTS)).cast("int"))
+        joined = salted.join(dealt, same_host & (F.col(salt) == F.col("_at")), "left")
     whole = F.col(f"`{text}`").cast("string")
     lines = F.split(whole, "\n", -1)
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(drop), _digest(x)))

@@ -116,7 +116,9 @@ def test_line_dedup(spark, duck, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
-def test_line_dedup_awkward(awkward):
+@pytest.mark.parametrize("limit", [0, 1 << 24])
+def test_line_dedup_awkward(awkward, monkeypatch, limit):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)
     out = line_dedup.dedup_lines(awkward, ratio=0.5, least_pages=2)
     rows = {(r["doc_id"], r["source"]): r for r in out.collect()}
     assert out.count() == awkward.count() and set(awkward.columns) < set(out.columns)
