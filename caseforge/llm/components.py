@@ -2,7 +2,7 @@
 
 Each round is a pair of aggregations and joins; its edges are written to the shared folder,
 so a lost executor costs one round at most. A node with very many neighbours is one key of
-a join whose other side has one row, which Spark splits.
+a join whose other side is a written table with one row for it, so Spark can split its rows.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ ROUNDS = 60
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m"))
+    least, _ = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m")), "least")
     return both.filter("b > a").join(least, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "of")
+    least, _ = written(down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "of"), "least")
     moved = down.join(least, F.col("a") == F.col("of")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select(F.col("of").alias("a"), F.col("m").alias("b"))).distinct()
 
