@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, text_or_empty, written
@@ -58,18 +58,19 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(total * 2 > count).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long). Null texts count as empty: fingerprint 0."""
-    source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_or_empty(f"`{text}`").alias("text"))
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, row: Column | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), row where asked for. Null texts count as empty: fingerprint 0."""
+    source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_or_empty(f"`{text}`").alias("text"), *([] if row is None else [row.alias("row")]))
+    names = ["doc_id", "fp", *source.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 own = np.array([fingerprint(t.as_py(), words) for t in part.column(1)], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.view(np.int64)), *part.columns[2:]], names=names)
 
-    return source.mapInArrow(run, "doc_id long, fp long")
+    return source.mapInArrow(run, "doc_id long, fp long" + ("" if row is None else ", row string"))
 
 
 class _Found:
@@ -222,6 +223,13 @@ def links(distinct: DataFrame, bits: int = BITS, parts: int = PARTS, top: int =
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _roots(prints: DataFrame, bits: int, parts: int, top: int) -> DataFrame:
+    """fp, least (its least doc_id), n (its rows), root (least fingerprint of its component, null without links)."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    roots = components(links(distinct.select("fp"), bits, parts, top))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", "root")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, parts: int = PARTS, top: int = TOP) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
 
@@ -230,17 +238,35 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     repeated in the result; an empty table gives an empty result.
     """
     docs, _ = written(fingerprints(df, doc_id, text, words), "fingerprints")
-    distinct = docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    roots = components(links(distinct.select("fp"), bits, parts, top))
-    held = distinct.join(roots, F.col("fp") == F.col("node"), "left").filter("n > 1 or root is not null")
+    held = _roots(docs, bits, parts, top).filter("n > 1 or root is not null")
     held = held.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = held.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "of")
     classes = held.join(named, F.col("root") == F.col("of")).select(F.col("fp").alias("key"), "component_id")
     return docs.join(classes, F.col("fp") == F.col("key"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each group: the one whose id names it; columns as they came."""
-    key = free_name(df, "_kept")
-    ids = near_duplicates(df, doc_id, text, **options).filter("doc_id <=> component_id").select(F.col("doc_id").alias(key)).distinct()
-    return df.join(ids, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(key))).drop(key).dropDuplicates([doc_id])
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Digest of a row's id and text: rows that share an id, or have none, are told apart by their texts."""
+    return F.sha2(F.concat(F.coalesce(F.col(f"`{doc_id}`").cast("long").cast("string"), F.lit("null")), F.lit(":"), text_or_empty(f"`{text}`")), 256)
+
+
+def one_a_group(df: DataFrame, grouped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of df with the least (doc_id, digest) of each group; columns as they came.
+
+    grouped: doc_id, row (the row_key) and the group of each row. Null ids come last.
+    """
+    key = free_name(df, "_row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    chosen = grouped.groupBy("group").agg(least.alias("least")).select(F.col("least.row").alias(key))
+    return df.withColumn(key, row_key(doc_id, text)).join(chosen, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, parts: int = PARTS, top: int = TOP) -> DataFrame:
+    """One row of each component of fingerprints: the one with the least id; columns as they came.
+
+    Ids needn't be unique or given: a component keeps one row whatever its ids, so different texts
+    with a null id or under one id all stay. Rows equal in id and text count as one row.
+    """
+    docs, _ = written(fingerprints(df, doc_id, text, words, row_key(doc_id, text)), "fingerprints")
+    group = _roots(docs, bits, parts, top).select(F.col("fp").alias("key"), F.coalesce("root", "fp").alias("group"))
+    return one_a_group(df, docs.join(group, F.col("fp") == F.col("key")).select("doc_id", "row", "group"), doc_id, text)

@@ -307,6 +307,14 @@ def test_simhash_stage_keeps_one(awkward, nothing):
     assert ids == sorted(set(ids)) and 5 in ids and simhash.near_duplicates(nothing).count() == 0
 
 
+def test_simhash_stage_keeps_texts_without_own_ids(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(900)) for _ in range(60)) for _ in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:]] + [(None, texts[0]), (3, texts[0]), (7, texts[5])]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in kept) == Counter([(3, texts[0]), *[(None, t) for t in texts[1:4]], *[(7, t) for t in texts[4:]]])
+
+
 # ---- 10
 def slow_removal(texts, length):
     seen: Counter = Counter()
