@@ -1,0 +1,162 @@
+"""Near copies by five-word shingles: Jaccard similarity of 0.8 or more, always confirmed on the whole sets.
+
+1. A text's set holds the 64-bit hashes of its runs of five words (lower case, split at white
+   space; fewer words are one run). Equal sets are one node from the start.
+2. BANDS keys of ROWS minima each (MinHash): two sets of similarity s share a key with chance
+   1 - (1 - s ** ROWS) ** BANDS. At 0.8, the least that counts, a pair is missed with chance 7e-6.
+3. Sets that share a key with others are gathered into clusters, the components over shared keys.
+4. Inside a cluster every set is compared exactly with all sets not yet in its component, by
+   counting shared hashes in an inverted list, breadth first. So a large group of copies takes
+   few passes, not all its pairs, and no pair of the cluster is left out.
+
+A Hamming budget wide enough for 0.8 (about 12 of 64 bits) doesn't do here: it meets a share of
+all pairs of texts that doesn't fall with their number.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import free_name, text_or_empty, written
+from .components import components
+from .simhash import SEED, one_a_group, row_key
+
+WORDS = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 30, 5
+#: Hashes whose minima are taken at once.
+PIECE = 2048
+
+_rng = np.random.default_rng(11)
+_FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """Sorted different hashes of the text's runs of words; none without words."""
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(tokens)
+    if len(tokens) <= words:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum([len(t) + 1 for t in tokens])
+    starts = np.concatenate([[0], ends[:-1]])[: len(tokens) - words + 1].tolist()
+    ends = (ends[words - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], dtype=np.uint64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """The BANDS keys of a set; none for the empty set."""
+    if not len(own):
+        return np.zeros(0, dtype=np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(own), PIECE):
+        np.minimum(least, (own[at : at + PIECE, None] * _FACTORS + _SHIFTS).min(axis=0), out=least)
+    least = least.reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
+    return key
+
+
+def near_groups(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """For each set, the position of the first set of its component under the similarity."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    _, word = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    owner = np.repeat(np.arange(n), size)[np.argsort(word, kind="stable")]
+    at = np.concatenate([[0], np.cumsum(np.bincount(word))])
+    label, left = np.full(n, -1), np.ones(n, dtype=bool)
+    for seed in range(n):
+        if label[seed] >= 0:
+            continue
+        label[seed], left[seed], queue = seed, False, [seed]
+        while queue and left.any():
+            i = queue.pop()
+            own = word[start[i] : start[i + 1]]
+            shared = np.zeros(n, dtype=np.int64)
+            for a in range(0, len(own), PIECE):
+                first, many = at[own[a : a + PIECE]], at[own[a : a + PIECE] + 1] - at[own[a : a + PIECE]]
+                shared += np.bincount(owner[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())], minlength=n)
+            near = np.flatnonzero(left & (shared >= similarity * (size + size[i] - shared) - 1e-9))
+            label[near], left[near] = seed, False
+            queue += near.tolist()
+    return label
+
+
+def _described(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, row (its key), node (digest of its set), keys (of its bands)."""
+    source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), row_key(doc_id, text).alias("row"), text_or_empty(f"`{text}`").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                sets = [shingles(t.as_py()) for t in part.column(2)]
+                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+                keys = [band_keys(s).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "node", "keys"])
+
+    return source.mapInArrow(run, "doc_id long, row string, node long, keys array<long>")
+
+
+def _compared(members: DataFrame) -> DataFrame:
+    """node, group: exact components inside each cluster (columns cluster, node, text), one cluster held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets = None, [], []
+
+        def done() -> pa.RecordBatch:
+            nodes_ = np.array(nodes, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(nodes_), pa.array(nodes_[near_groups(sets)])], names=["node", "group"])
+
+        for batch in batches:
+            for cluster, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cluster != now and nodes:
+                    yield done()
+                    nodes, sets = [], []
+                now = cluster
+                nodes.append(node)
+                sets.append(shingles(text))
+        if nodes:
+            yield done()
+
+    return members.select("cluster", "node", "text").repartition("cluster").sortWithinPartitions("cluster", "node").mapInArrow(run, "node long, group long")
+
+
+def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, row (the row_key), group: the rows of df by components of near copies.
+
+    Texts without words are one group. Nodes are known by 64-bit digests of their sets.
+    """
+    docs, _ = written(_described(df, doc_id, text), "shingles")
+    keys = docs.select("node", F.explode("keys").alias("key"))
+    entries = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select(F.col("key").alias("k"), "first")
+    edges = keys.join(entries, F.col("key") == F.col("k")).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    clusters, _ = written(components(edges).select(F.col("node").alias("of"), F.col("root").alias("cluster")), "clusters")
+    key = free_name(df, "_row")
+    chosen = docs.join(clusters, F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.min("row").alias(key))
+    chosen, _ = written(chosen.join(clusters, F.col("node") == F.col("of")).select(F.col(key), "node", "cluster"), "members")
+    texts = df.select(row_key(doc_id, text).alias(key), text_or_empty(f"`{text}`").alias("text"))
+    members = texts.join(chosen, key).dropDuplicates(["node"])
+    found, _ = written(_compared(members).select(F.col("node").alias("of"), "group"), "near-copies")
+    return docs.join(found, F.col("node") == F.col("of"), "left").select("doc_id", "row", F.coalesce("group", "node").alias("group"))
+
+
+def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near copies: the one with the least id (null ids last); columns as they came."""
+    return one_a_group(df, groups(df, doc_id, text), doc_id, text)

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from caseforge.llm import language_id, line_dedup, media_copies, mixing, quality_rules, queries, sentencepiece_codec, sharding, simhash, suffix_dedup, toxicity
+from caseforge.llm import language_id, line_dedup, media_copies, mixing, quality_rules, queries, sentencepiece_codec, sharding, shingle_copies, simhash, suffix_dedup, toxicity
 
 from ..conftest import SMALL, tidy
 
@@ -315,6 +315,42 @@ def test_simhash_stage_keeps_texts_without_own_ids(spark):
     assert Counter(tuple(r) for r in kept) == Counter([(3, texts[0]), *[(None, t) for t in texts[1:4]], *[(7, t) for t in texts[4:]]])
 
 
+def slow_near_groups(texts):
+    """Root of each text under links of five-word Jaccard similarity >= 0.8; all pairs."""
+    runs = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := t.lower().split()) else frozenset() for _, t in texts]
+    root = list(range(len(runs)))
+    for i, a in enumerate(runs):
+        for j, b in enumerate(runs[:i]):
+            if a == b or (5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def test_shingle_copies_equal_brute_force(spark):
+    rng = random.Random(6)
+    base = [rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(["", None, " a  B", "A b", "a b c"])]
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(120)] = f"x{rng.randrange(9999)}"
+        rows.append((100 + i if i % 3 else None, " ".join(words)))
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (own, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")):
+        texts = texts_of(df)
+        by_root: dict[int, list] = {}
+        for (i, t), r in zip(texts, slow_near_groups(texts), strict=True):
+            by_root.setdefault(r, []).append((i, t))
+        kept = Counter((r["doc_id"], r["text"] or "") for r in shingle_copies.deduplicated(df).collect())
+        assert sum(kept.values()) == len(by_root)
+        group_of = {row: r for r, g in by_root.items() for row in g}
+        assert len({group_of[row] for row in kept}) == len(by_root)
+        for row in kept:
+            ids = [i for i, _ in by_root[group_of[row]] if i is not None]
+            assert row[0] == (min(ids) if ids else None)
+
+
 # ---- 10
 def slow_removal(texts, length):
     seen: Counter = Counter()

@@ -21,3 +21,11 @@ def test_stages(spark):
     assert 0.7 * counts[0] < counts[1] <= counts[0] and counts[2] == counts[1] and counts[4] > 0
     assert docs.filter("n_tokens <> size(ids) or decoded is null").count() == 0
     assert corpus_pipeline.run(spark, SMALL).count() == counts[-1]
+
+
+def test_near_copy_stage_meets_five_words(spark):
+    """6 bits apart as SimHash, at 0.815 by five-word shingles."""
+    words = [f"w{i * 7919 % 1000}" for i in range(200)]
+    edits = [" ".join(f"x{i}" if i in at else w for i, w in enumerate(words)) for at in ((), (20, 60, 90, 150))]
+    docs = spark.createDataFrame(list(enumerate(edits)), "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()] == [0]
