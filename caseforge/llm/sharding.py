@@ -7,8 +7,10 @@ unlinked ones first, fill the shards that lack rows, so that counts differ by on
 
 State is kept by unit: the documents of one group in one of 128 hash cells. A unit moves as a
 whole, so a round works on at most 128 rows a group, however many copies it has, and a group
-that no shard could hold is spread over several. Requests are admitted in classes of (unit
-size, hash) through a table of bounded size. Rows are numbered inside blocks of a shard.
+that no shard could hold fills one shard a round by cells; any other asks only a shard that has
+room for all of it. Requests are admitted in classes of (unit size, hash) up to the room, the
+class at the edge by finer hashes, through tables of bounded size. Rows are numbered inside
+blocks of a shard.
 """
 
 from __future__ import annotations
@@ -36,24 +38,38 @@ def _by_label(df: DataFrame, what: Column, shards: int) -> list[int]:
 
 
 def propagate(units: DataFrame, quota: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """Moves units (a, b: the group; cell; label; n rows) towards their group's largest shard with room."""
+    """Moves units (a, b: the group; cell; label; n rows) towards their group's largest shard with room.
+
+    A group over the room of all shards fills one more of them a round, so `rounds` of them at most.
+    """
     now, path = written(units, "units")
     for _ in range(rounds):
         room = [max(0, quota - n) for n in _by_label(now, F.sum("n"), shards)]
-        weights = now.groupBy("a", "b", "label").agg(F.sum("n").alias("w"))
+        weights = now.groupBy("a", "b", "label").agg(F.sum("n").alias("w"), F.max("n").alias("widest"))
         tie = F.xxhash64("a", "b", "label")
-        lead = weights.groupBy("a", "b").agg(F.max(F.struct((_pick(room, F.col("label")) > 0).alias("open"), "w", tie.alias("tie"), "label")).alias("lead"))
+        sums = weights.groupBy("a", "b").agg(F.sum("w").alias("m"), F.max("widest").alias("widest")).select(F.col("a").alias("sa"), F.col("b").alias("sb"), "m", F.col("widest").alias("unit"))
+        free = _pick(room, F.col("label"))
+        rated = weights.join(sums, (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb"))).withColumn("whole", free >= F.col("m") - F.col("w")).withColumn("open", free >= F.col("unit"))
+        lead = rated.groupBy("a", "b").agg(F.max(F.struct("whole", "open", "w", tie.alias("tie"), "label")).alias("lead"))
         lead = lead.select(F.col("a").alias("ga"), F.col("b").alias("gb"), "lead")
         own = weights.select(F.col("a").alias("wa"), F.col("b").alias("wb"), F.col("label").alias("wl"), "w", tie.alias("tie"))
         asked = now.join(lead, (F.col("a") == F.col("ga")) & (F.col("b") == F.col("gb"))).join(own, (F.col("a") == F.col("wa")) & (F.col("b") == F.col("wb")) & (F.col("label") == F.col("wl")))
-        better = F.struct("lead.w", "lead.tie") > F.struct("w", "tie")
-        asked = asked.withColumn("to", F.when(F.col("lead.open") & (F.col("label") != F.col("lead.label")) & better, F.col("lead.label")))
-        asked = asked.select("a", "b", "cell", "label", "n", "to", F.length(F.bin("n")).alias("bits"), F.pmod(F.xxhash64("a", "b", F.lit("request")), F.lit(REQUEST_HASHES)).alias("h"))
-        requests = asked.filter("to is not null").groupBy("to", "bits", "h").agg(F.sum("n").alias("rows"))
-        upto = F.sum("rows").over(Window.partitionBy("to").orderBy("bits", "h"))
-        admitted = requests.withColumn("upto", upto).filter(F.col("upto") <= _pick(room, F.col("to")))
-        admitted = admitted.select(F.col("to").alias("t"), F.col("bits").alias("tb"), F.col("h").alias("th"))
-        moved = asked.join(F.broadcast(admitted), (F.col("to") == F.col("t")) & (F.col("bits") == F.col("tb")) & (F.col("h") == F.col("th")), "left")
+        better = F.col("lead.whole") | (F.col("lead.open") & (F.struct("lead.w", "lead.tie") > F.struct("w", "tie")))
+        asked = asked.withColumn("to", F.when((F.col("label") != F.col("lead.label")) & better, F.col("lead.label")))
+        hashed = lambda salt: F.pmod(F.xxhash64("a", "b", F.lit(salt)), F.lit(REQUEST_HASHES))
+        part = hashed("finer") * CELLS + F.when(F.col("lead.whole"), 0).otherwise(F.col("cell"))
+        asked = asked.select("a", "b", "cell", "label", "n", "to", F.struct((~F.col("lead.whole")).alias("split"), F.length(F.bin("n")).alias("bits"), hashed("request").alias("h")).alias("class"), part.alias("part"))
+        requests = asked.filter("to is not null").groupBy("to", "class").agg(F.sum("n").alias("rows"))
+        upto = requests.withColumn("upto", F.sum("rows").over(Window.partitionBy("to").orderBy("class"))).withColumn("space", _pick(room, F.col("to")))
+        cut = upto.filter("upto > space").groupBy("to").agg(F.min(F.struct("class", (F.col("space") - F.col("upto") + F.col("rows")).alias("left"))).alias("cut"))
+        limits = cut.select(F.col("to").alias("t"), F.col("cut.class").alias("limit"), F.col("cut.left").alias("left"))  # a row a shard at most
+        asked = asked.join(F.broadcast(limits), F.col("to") == F.col("t"), "left")
+        edge = asked.filter(F.col("class") == F.col("limit")).groupBy("to", "part", "left").agg(F.sum("n").alias("rows"))
+        edge = edge.withColumn("upto", F.sum("rows").over(Window.partitionBy("to").orderBy("part"))).filter("upto <= left")
+        edge = edge.select(F.col("to").alias("et"), F.col("part").alias("ep"))  # shards x 64 x CELLS rows at most
+        moved = asked.join(F.broadcast(edge), (F.col("class") == F.col("limit")) & (F.col("to") == F.col("et")) & (F.col("part") == F.col("ep")), "left")
+        admitted = F.col("to").isNotNull() & (F.col("limit").isNull() | (F.col("class") < F.col("limit")) | F.col("et").isNotNull())
+        moved = moved.withColumn("t", F.when(admitted, F.col("to")))
         moved = moved.select("a", "b", "cell", F.when(F.col("t").isNotNull(), F.col("to")).otherwise(F.col("label")).alias("label"), "n", F.col("t").isNotNull().alias("moved"))
         new, new_path = written(moved, "units")
         count = new.filter("moved").count()

@@ -241,6 +241,16 @@ def test_sharding_awkward_and_hot(spark, awkward, nothing):
     check_shards(sharding.shard(hot).collect(), texts_of(hot))
 
 
+def test_sharding_gathers_hot_groups(spark):
+    """Quota 375: 2,000 equal texts take 6 shards, 300 others one."""
+    text = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 20 == 1, F.lit("warm")).otherwise(F.col("id").cast("string"))
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    rows, by_id = sharding.shard(df).collect(), dict(texts_of(df))
+    check_shards(rows, texts_of(df))
+    spread = {name: len({r["shard"] for r in rows if by_id[r["doc_id"]] == name}) for name in ("hot", "warm")}
+    assert spread == {"hot": 6, "warm": 1}
+
+
 # ---- 9
 def slow_fingerprint(t, k=4):
     w = t.encode().lower().split()
