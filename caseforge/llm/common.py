@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +28,13 @@ def fold_of(doc_id: str, folds: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; an own folder only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session makes its own; a cluster fails."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     global _own
     _own = _own or tempfile.mkdtemp(prefix="caseforge-")
     return f"file://{_own}"
@@ -38,6 +43,18 @@ def shared_folder(spark: SparkSession) -> str:
 _own = ""
 
 
+def portions(column: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
+    """Texts of an Arrow column by portions of about `most` characters: the first one's place, and the texts. One text is never cut."""
+    at = 0
+    while at < len(column):
+        texts, held = [], 0
+        while at + len(texts) < len(column) and held < most:
+            texts.append(column[at + len(texts)].as_py())
+            held += len(texts[-1])
+        yield at, texts
+        at += len(texts)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes a table to the shared folder and reads it again: lineage ends there, and its size is known."""
     spark = df.sparkSession

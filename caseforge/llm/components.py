@@ -15,30 +15,34 @@ from .common import removed, written
 ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, str]:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least, _ = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m")), "least")
-    return both.filter("b > a").join(least, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least, path = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m")), "least")
+    return both.filter("b > a").join(least, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b")), path
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, str]:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    least, _ = written(down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "of"), "least")
+    least, path = written(down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "of"), "least")
     moved = down.join(least, F.col("a") == F.col("of")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select(F.col("of").alias("a"), F.col("m").alias("b"))).distinct()
+    return moved.unionByName(least.select(F.col("of").alias("a"), F.col("m").alias("b"))).distinct(), path
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node that has an edge; the root is the component's least node, with itself as root.
 
     edges: columns a and b of one ordered type. Loops and repeated edges are harmless, rows with a
-    null are left out; an empty table gives an empty result.
+    null are left out; an empty table gives an empty result. Tables of earlier rounds are deleted.
     """
+    spark = edges.sparkSession
     now, path = written(edges.select("a", "b").filter("a <> b"), "edges")
     before = None
     for _ in range(ROUNDS):
-        new, new_path = written(_small_star(_large_star(now)), "edges")
-        removed(edges.sparkSession, path)
+        large, large_least = _large_star(now)
+        small, small_least = _small_star(large)
+        new, new_path = written(small, "edges")
+        for old in (path, large_least, small_least):
+            removed(spark, old)
         now, path = new, new_path
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == before:
