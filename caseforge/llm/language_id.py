@@ -7,7 +7,8 @@ less a penalty of half a logarithm of the word count for each further one, grows
 each with proportions of its own); the largest proportion of the chosen set is the prediction.
 
 Words are scored once for each store of words; expectation-maximisation runs over all documents
-of a batch at once, as segmented sums over flat arrays.
+of a batch at once, as segmented sums over flat arrays, taken in pieces of bounded size; documents
+whose proportions have settled leave the rounds.
 """
 
 from __future__ import annotations
@@ -22,18 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, text_or_empty
+from .common import fold_of, portions, text_or_empty
 
 #: Bound of the training sample: about so many documents of each language.
 SAMPLE = 1500
 #: Languages that a model may have; more fail rather than drop any.
 LANGUAGES = 400
 SMOOTH = 0.05
-ROUNDS = 12
+#: Rounds at most, and the change of a proportion under which a document has settled.
+ROUNDS, SETTLED = 30, 1e-4
 FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
-WORDS_KEPT = 200_000
+#: Word scores (words x languages) that a store keeps, and that are taken at once.
+SCORES_KEPT, PIECE = 4_000_000, 1_000_000
 
 
 def _grams(word: str) -> list[str]:
@@ -41,6 +44,16 @@ def _grams(word: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
+def words_of(text: str) -> Counter[str]:
+    """Runs of letters, in lower case, with their counts. Other word characters (fractions, circled digits) end a word."""
+    found = Counter(_WORDS.findall(text.lower()))
+    for w in [w for w in found if not w.isalpha()]:
+        n = found.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            found[part] += n
+    return found
+
+
 @dataclass
 class Model:
     names: list[str]
@@ -93,7 +106,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             found: dict[str, Counter[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = found.setdefault(lang, Counter())
-                for w, n in Counter(_WORDS.findall(text.lower())).items():
+                for w, n in words_of(text).items():
                     for g in _grams(w):
                         own[g] += n
             rows = [(lang, g, n) for lang, c in found.items() for g, n in c.items()]
@@ -108,25 +121,52 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return build(counts)
 
 
-def _mixture(logs: np.ndarray, n: np.ndarray, at: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _mixture(like: np.ndarray, top: np.ndarray, which: np.ndarray, n: np.ndarray, at: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (documents x languages) under which the words are likeliest, and the log-likelihood.
 
-    logs: words x languages; n: count of each word; at: where each document's words begin, and the end;
-    allowed: documents x languages.
+    like, top: of the stored words, likelihoods by language over their greatest, and its logarithm;
+    which, n: the documents' words and their counts; at: where each document's words begin, and the
+    end; allowed: documents x languages.
     """
-    spans = np.diff(at)
+    docs, k = allowed.shape
     total = np.add.reduceat(n, at[:-1])
-    top = logs.max(axis=1, keepdims=True)
-    like = np.exp(logs - top)
     share = allowed / allowed.sum(axis=1, keepdims=True)
+    step = max(1, PIECE // k)
+
+    def pieces(own: np.ndarray, used: np.ndarray, bounds: np.ndarray, what) -> np.ndarray:
+        """Sums over the words of each document of what(likelihoods, proportions of the words' documents, counts, word numbers)."""
+        out = np.zeros((len(own), k)) if what is _joint else np.zeros(len(own))
+        doc = np.repeat(np.arange(len(own)), np.diff(bounds))
+        for a in range(0, len(used), step):
+            b = min(len(used), a + step)
+            rows = which[used[a:b]]
+            first, last = doc[a], doc[b - 1]
+            starts = np.maximum(bounds[first : last + 1], a) - a
+            out[first : last + 1] += np.add.reduceat(what(like[rows], share[own][doc[a:b]], n[used[a:b]], top[rows]), starts, axis=0)
+        return out
+
+    live, used, bounds = np.arange(docs), np.arange(len(n)), at
     for _ in range(ROUNDS):
-        joint = like * np.repeat(share, spans, axis=0)
-        joint *= (n / np.maximum(joint.sum(axis=1), 1e-300))[:, None]
-        share = np.add.reduceat(joint, at[:-1], axis=0) / total[:, None]
-        share = np.where(allowed, share, 0)
-        share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
-    mixed = (like * np.repeat(share, spans, axis=0)).sum(axis=1)
-    return share, np.add.reduceat(n * (np.log(np.maximum(mixed, 1e-300)) + top[:, 0]), at[:-1])
+        new = np.where(allowed[live], pieces(live, used, bounds, _joint) / total[live, None], 0)
+        new /= np.maximum(new.sum(axis=1, keepdims=True), 1e-300)
+        moving = np.abs(new - share[live]).max(axis=1) > SETTLED
+        share[live] = new
+        if not moving.any():
+            break
+        if not moving.all():
+            spans = np.diff(bounds)
+            used, live = used[np.repeat(moving, spans)], live[moving]
+            bounds = np.concatenate([[0], np.cumsum(spans[moving])])
+    return share, pieces(np.arange(docs), np.arange(len(n)), at, _fit)
+
+
+def _joint(like: np.ndarray, share: np.ndarray, n: np.ndarray, top: np.ndarray) -> np.ndarray:
+    both = like * share
+    return both * (n / np.maximum(both.sum(axis=1), 1e-300))[:, None]
+
+
+def _fit(like: np.ndarray, share: np.ndarray, n: np.ndarray, top: np.ndarray) -> np.ndarray:
+    return n * (np.log(np.maximum((like * share).sum(axis=1), 1e-300)) + top)
 
 
 class Identifier:
@@ -135,36 +175,42 @@ class Identifier:
         self.empty()
 
     def empty(self) -> None:
+        k = len(self.model.names)
         self.number: dict[str, int] = {}
-        self.logs = np.zeros((0, len(self.model.names)))
+        self.logs, self.like, self.top = np.zeros((0, k)), np.zeros((0, k)), np.zeros(0)
+
+    def _store(self, fresh: list[str]) -> None:
+        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
+        logs = np.array([self.model.word(w) for w in fresh]).reshape(len(fresh), len(self.model.names))
+        top = logs.max(axis=1)
+        self.logs, self.top = np.concatenate([self.logs, logs]), np.concatenate([self.top, top])
+        self.like = np.concatenate([self.like, np.exp(logs - top[:, None])])
 
     def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Predicted languages, their proportions, and the number of languages chosen."""
         k = len(self.model.names)
-        if len(self.number) > WORDS_KEPT:
-            self.empty()
-        found = [Counter(_WORDS.findall(t.lower())) for t in texts]
-        fresh = list(set().union(*found).difference(self.number)) if found else []
-        if fresh:
-            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
-            self.logs = np.concatenate([self.logs, np.array([self.model.word(w) for w in fresh]).reshape(len(fresh), k)])
+        found = [words_of(t) for t in texts]
         names, score, chosen = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
         rows = [i for i, c in enumerate(found) if c]
         if not rows or not k:
             return names, score, chosen
+        if len(self.number) * k > SCORES_KEPT:
+            self.empty()
+        fresh = list(set().union(*found).difference(self.number))
+        if fresh:
+            self._store(fresh)
         number = self.number
         which = np.array([number[w] for i in rows for w in found[i]], dtype=np.int64)
         n = np.array([x for i in rows for x in found[i].values()], dtype=np.float64)
         at = np.concatenate([[0], np.cumsum([len(found[i]) for i in rows])])
-        logs = self.logs[which]
         docs = len(rows)
         words = np.add.reduceat(n, at[:-1])
-        full, _ = _mixture(logs, n, at, np.ones((docs, k), dtype=bool))
+        full, _ = _mixture(self.like, self.top, which, n, at, np.ones((docs, k), dtype=bool))
         order = np.argsort(-full, axis=1, kind="stable")
         rank = np.argsort(order, axis=1, kind="stable")
-        alone = np.add.reduceat(logs * n[:, None], at[:-1], axis=0)
-        best = alone[np.arange(docs), order[:, 0]]
-        share = (rank == 0).astype(float)
+        alone = np.stack([np.add.reduceat(self.logs[which, j] * n, at[:-1]) for j in range(k)], axis=1)
+        best = alone.max(axis=1)
+        share = (np.arange(k) == alone.argmax(axis=1)[:, None]).astype(float)
         size = np.ones(docs, dtype=np.int64)
         spans = np.diff(at)
         open_ = full[np.arange(docs), order[:, 1]] > 1e-6 if k > 1 else np.zeros(docs, dtype=bool)
@@ -174,8 +220,8 @@ class Identifier:
                 break
             pick = np.repeat(open_, spans)
             sub_at = np.concatenate([[0], np.cumsum(spans[own])])
-            got, like = _mixture(logs[pick], n[pick], sub_at, rank[own] < m)
-            value = like - 0.5 * (m - 1) * np.log(words[own])
+            got, fit = _mixture(self.like, self.top, which[pick], n[pick], sub_at, rank[own] < m)
+            value = fit - 0.5 * (m - 1) * np.log(words[own])
             better = value > best[own]
             share[own[better]], best[own[better]], size[own[better]] = got[better], value[better], m
             if m < k:
@@ -190,22 +236,17 @@ def identified(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     """doc_id, held_out, lang_pred, score, n_langs for each row, repeated ones included.
 
     Null texts and texts without a letter are `und` with score 0, as is everything under a model
-    without languages; ties go to the language that comes first by name.
+    without languages; ties go to the language that comes first by name; very long texts are taken
+    whole, by pieces; other columns are left aside; an empty table gives an empty result.
     """
     own = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), (fold_of(doc_id, FOLDS) == HELD_OUT).alias("held_out"), text_or_empty(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identify = Identifier(model)
         for batch in batches:
-            a = 0
-            while a < batch.num_rows:
-                texts, held = [], 0
-                while a + len(texts) < batch.num_rows and held < 1_000_000:
-                    texts.append(batch.column(2)[a + len(texts)].as_py())
-                    held += len(texts[-1])
+            for a, texts in portions(batch.column(2), 1_000_000):
                 names, score, size = identify(texts)
                 part = batch.slice(a, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(size)], names=["doc_id", "held_out", "lang_pred", "score", "n_langs"])
-                a += len(texts)
 
     return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_langs long")
