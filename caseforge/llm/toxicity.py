@@ -1,13 +1,17 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; the unlabelled texts are a sample of all documents of
-the learning folds, for the absence of a toxic label proves nothing. With the class prior p, the risk
+Confirmed toxic texts are the positives. The unlabelled texts are a hash sample of all labelled
+rows of the learning folds with their labels set aside, so the toxic share of the labels is
+the class prior among them. With the prior p, the risk
 
     p E_pos[l(+)] + max(0, E_unl[l(-)] - p E_pos[l(-)])
 
 estimates that of a fully labelled sample; the clamp keeps the part of the negatives from
 falling below zero, where the classifier would fit noise. A logistic classifier over words and
-word openings is trained on it in numpy on the driver, from a sample whose size is a parameter.
+word openings is trained on it in numpy on the driver.
+
+The sample is bounded by POSITIVES and UNLABELLED. Its features are counted by Spark; those that
+tell positives from unlabelled texts, for or against, are kept, and only they reach the driver.
 """
 
 from __future__ import annotations
@@ -22,18 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, free_name, text_or_empty
+from .common import fold_of, free_name, portions, removed, text_or_empty, written
 
-#: Bounds of the training sample: confirmed toxic texts and unlabelled ones.
+#: Bounds of the training sample: confirmed toxic ids, and labelled ids that stand for unlabelled ones.
 POSITIVES = 2500
 UNLABELLED = 6000
-#: Features kept for training, by how much likelier they are in positives.
+#: Features count from this log-likelihood ratio (G) on, for or against; the strongest ones up to a bound.
+EVIDENCE = 12.0
 FEATURES = 20_000
-#: A feature counts if it is so many times likelier in positives than in unlabelled texts (as a share
-#: of 1 / prior, which a purely toxic feature reaches), and if its log-likelihood ratio exceeds the first
-#: number of EVIDENCE plus the second one for each positive (copies in the sample lend rare words weight).
-LIFT_SHARE = 0.6
-EVIDENCE = (12.0, 0.02)
 #: So many characters of a word's opening are a feature of their own.
 OPENINGS = (4, 5, 6)
 THRESHOLD = 0.7
@@ -83,22 +83,24 @@ class _Scorer:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))))
 
 
+def evidence(positive: np.ndarray, unlabelled: np.ndarray, n_positive: int, n_unlabelled: int) -> np.ndarray:
+    """Log-likelihood ratio (G) of a feature's presence against the side, from the numbers of texts that have it."""
+    n = n_positive + n_unlabelled
+    both = positive + unlabelled
+    cells = ((positive, both * n_positive), (unlabelled, both * n_unlabelled), (n_positive - positive, (n - both) * n_positive), (n_unlabelled - unlabelled, (n - both) * n_unlabelled))
+    return 2 * sum(np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) * n / np.maximum(meant, 1e-9)), 0.0) for seen, meant in cells)
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """Fits the classifier; each text is the array of its feature numbers."""
     if not positive or not unlabelled:
         return Model({}, float(np.log(max(prior, 1e-6) / (1 - min(prior, 1 - 1e-6)))))
-    names, counts = np.unique(np.concatenate(positive), return_counts=True)
-    other = np.concatenate(unlabelled)
-    at = np.searchsorted(names, other)
-    at[at == len(names)] = 0
-    there = names[at] == other if len(names) else np.zeros(len(other), dtype=bool)
-    base = np.bincount(at[there], minlength=len(names))
-    lift = (counts / len(positive)) / ((base + 0.5) / len(unlabelled))
-    expected = (counts + base) * (len(positive) / (len(positive) + len(unlabelled)))
-    gain = 2 * (counts * np.log(counts / expected) + base * np.log(np.maximum(base, 1e-9) / (counts + base - expected)))
-    chosen = np.flatnonzero((lift >= LIFT_SHARE / prior) & (gain >= EVIDENCE[0] + EVIDENCE[1] * len(positive)))
-    chosen = np.sort(chosen[np.argsort(-gain[chosen], kind="stable")[:FEATURES]])
-    names = names[chosen]
+    names, which = np.unique(np.concatenate(positive + unlabelled), return_inverse=True)
+    first = sum(len(t) for t in positive)
+    counts, base = (np.bincount(x, minlength=len(names)) for x in (which[:first], which[first:]))
+    gain = evidence(counts, base, len(positive), len(unlabelled))
+    chosen = np.flatnonzero(gain >= EVIDENCE)
+    names = names[np.sort(chosen[np.argsort(-gain[chosen], kind="stable")[:FEATURES]])]
 
     def rows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         which = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
@@ -148,27 +150,40 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     prior = min(max(share["p"], 1e-3), 0.999)
     order = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
     toxic = own.filter("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(positives)
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_or_empty(f"`{text}`").alias("text"))
-    ids = texts.select("doc_id").filter(F.col("doc_id").isNotNull() & learn).distinct()
-    rest = ids.orderBy(order, "doc_id").limit(unlabelled)  # of all documents, so that the prior holds among them
+    rest = own.select("doc_id").orderBy(order, "doc_id").limit(unlabelled)  # whatever their labels, so that the prior holds among them
     # at most positives + unlabelled ids: a bounded side
     chosen = toxic.withColumn("y", F.lit(1)).unionByName(rest.withColumn("y", F.lit(0)))
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_or_empty(f"`{text}`").alias("text"))
+    # one text an id, however many rows share it
+    sampled = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                found = [np.array(sorted(features_of(t.as_py())), dtype=np.int64).astype(np.uint32).view(np.int32) for t in part.column(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "y", "f"])
+            for a, own in portions(batch.column(2), 1_000_000):
+                found = [np.array(sorted(features_of(t)), dtype=np.int64) for t in own]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(own)), batch.column(1).slice(a, len(own)), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "y", "f"])
 
-    sampled = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f array<int>")
-    got = sampled.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    rows, path = written(sampled.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f array<long>"), "toxic-sample")
+    sides = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sides) < 2:
+        return train([], [], prior)
+    counts = rows.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gain = evidence(batch.column(1).to_numpy(), batch.column(2).to_numpy(), sides[1], sides[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gain)], names=["f", "gain"])
+
+    told = counts.mapInArrow(weigh, "f long, gain double").filter(F.col("gain") >= EVIDENCE)
+    kept = told.orderBy(F.desc("gain"), "f").limit(FEATURES)  # a bounded side
+    lists = rows.join(F.broadcast(kept.agg(F.collect_list("f").alias("kept")))).select("doc_id", "y", F.array_intersect("f", "kept").alias("f"))  # one row
+    got = lists.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    removed(docs.sparkSession, path)
     y = got.column("y").to_numpy()
-    lists = got.column("f").combine_chunks()
-    flat = lists.values.to_numpy().view(np.uint32).astype(np.int64)
-    at = lists.offsets.to_numpy()
-    rows = [flat[at[k] : at[k + 1]] for k in range(len(y))]
-    return train([r for r, t in zip(rows, y, strict=True) if t == 1], [r for r, t in zip(rows, y, strict=True) if t == 0], prior)
+    found = got.column("f").combine_chunks()
+    flat, at = found.values.to_numpy(), found.offsets.to_numpy()
+    own = [np.sort(flat[at[k] : at[k + 1]]) for k in range(len(y))]
+    return train([r for r, t in zip(own, y, strict=True) if t == 1], [r for r, t in zip(own, y, strict=True) if t == 0], prior)
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
@@ -184,22 +199,26 @@ def scored(df: DataFrame, model: Model, text: str = "text", score: str = "score"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = model.scorer()
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                scores = pa.array([rate(t.as_py()) for t in part.column(len(kept))], pa.float64())
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(kept))), scores], names=[*kept, score])
+            for a, texts in portions(batch.column(len(kept)), 1_000_000):
+                scores = pa.array([rate(t) for t in texts], pa.float64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, len(texts)) for k in range(len(kept))), scores], names=[*kept, score])
 
     return source.mapInArrow(run, f"{schema}, `{score}` double")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document, repeated rows included."""
+    """doc_id, held_out, score, predicted for every document, repeated rows included.
+
+    Null and empty texts score as texts without any word; very long texts are read whole; a null
+    doc_id is not held out and never learnt from; of rows that share a labelled id one text is
+    learnt from, all are scored; without labels every score is 0.5; other columns are left aside.
+    """
     model = fit(docs, labels)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
     return scored(own, model).select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def clean(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score is below the threshold, with their columns."""
+    """The rows whose score is below the threshold, with their columns. Nulls, empty and repeated rows: as in `scored`."""
     name = free_name(df, "_toxicity")
     return scored(df, model, text, name).filter(F.col(name) < threshold).drop(name)
