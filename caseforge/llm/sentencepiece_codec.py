@@ -4,7 +4,10 @@ A model's pieces never hold a space mark after another character, so a text fall
 words (space marks, then other characters) that merge independently. Each distinct word is
 merged once: all words lie in one flat symbol array; a round looks up every adjacent pair,
 takes the minimum rank of each word (a segmented minimum), merges its leftmost occurrences
-in all words at once, and compacts the array; a word without a pair leaves it.
+in all words at once, and compacts the array; a word without a pair leaves it. Some pairs, once
+merged, make a pair that comes before their own kind; of those a word merges one occurrence a
+round, for all at once would give other pieces than the library. A word that has had SINGLE_ROUNDS
+such rounds (long runs of one character) is finished by a heap, with the same result.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, text_or_empty
+from .common import free_name, portions, text_or_empty
 
 MARK = "▁"
 _BIG = 1 << 22  # over any symbol number, so that a pair is one integer
@@ -190,11 +193,11 @@ class PieceModel:
             symbols, word, rank, made = symbols[stay], word[stay], rank[stay], made[stay]
             for w in slow:
                 singles[w] = 0
-                own = word == w
-                ended = self._merge_by_heap(symbols[own].tolist())
+                a, b = np.searchsorted(word, [w, w + 1])  # words stand in order
+                ended = self._merge_by_heap(symbols[a:b].tolist())
                 done_symbols.append(np.array(ended, dtype=np.int64))
                 done_words.append(np.full(len(ended), w))
-                symbols, word, rank, made = symbols[~own], word[~own], rank[~own], made[~own]
+                symbols, word, rank, made = (np.delete(x, slice(a, b)) for x in (symbols, word, rank, made))
                 fresh = np.arange(len(symbols))
         if not done_symbols:
             return np.zeros(0, dtype=np.int64), np.zeros(len(words) + 1, dtype=np.int64)
@@ -337,6 +340,42 @@ class Encoder:
 _models: dict[str, PieceModel] = {}
 
 
+def model_at(path: str) -> PieceModel:
+    if path not in _models:
+        _models[path] = PieceModel(path)
+    return _models[path]
+
+
+def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the texts, and the offset of each text in them."""
+        if len(self.number) > WORDS_KEPT:
+            self.empty()
+        words = [self.model.split(t) for t in texts]
+        fresh = list(set().union(*words).difference(self.number))
+        if fresh:
+            flat, at = self.model.merge(fresh)
+            start = len(self.number)
+            self.number.update(zip(fresh, range(start, start + len(fresh)), strict=True))
+            self.ids.append(flat)
+            self.sizes = np.concatenate([self.sizes, np.diff(at)]) if start else np.diff(at)
+        if not self.number:
+            return np.zeros(0, dtype=np.int64), np.zeros(len(texts) + 1, dtype=np.int64)
+        if len(self.ids) > 1:
+            self.ids = [np.concatenate(self.ids)]
+        starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        number = self.number
+        used = np.array([number[w] for ws in words for w in ws], dtype=np.int64)
+        sizes = self.sizes[used]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[0][np.repeat(starts[used] - (ends - sizes), sizes) + np.arange(total)]
+        upto = np.concatenate([[0], np.cumsum([len(ws) for ws in words])]).astype(np.int64)
+        return ids, np.concatenate([[0], ends])[upto]
+
+
+_models: dict[str, PieceModel] = {}
+
+
 def model_at(path: str) -> PieceModel:
     if path not in _models:
         _models[path] = PieceModel(path)
@@ -367,11 +406,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model_at(path))
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
-            for a, b in _chunks(texts):
-                flat, at = encoder.encode(texts[a:b])
+            for a, texts in portions(batch.column(len(kept)), CHUNK):
+                flat, at = encoder.encode(texts)
                 column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(kept))), column], names=[*kept, ids])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, len(texts)) for k in range(len(kept))), column], names=[*kept, ids])
 
     return source.mapInArrow(run, f"{schema}, `{ids}` array<int>")
 
@@ -410,17 +448,11 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", b
         model = model_at(path)
         encoder = Encoder(model)
         for batch in batches:
-            start = 0
-            while start < batch.num_rows:
-                texts, held = [], 0
-                while start + len(texts) < batch.num_rows and held < CHUNK:
-                    texts.append(batch.column(len(kept))[start + len(texts)].as_py())
-                    held += len(texts[-1])
+            for a, texts in portions(batch.column(len(kept)), CHUNK):
                 flat, at = encoder.encode(texts)
                 column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
                 again = pa.array(model.decode(flat, at), pa.string())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, len(texts)) for k in range(len(kept))), column, again], names=[*kept, ids, back])
-                start += len(texts)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, len(texts)) for k in range(len(kept))), column, again], names=[*kept, ids, back])
 
     return source.mapInArrow(run, f"{schema}, `{ids}` array<int>, `{back}` string")
 
@@ -437,20 +469,13 @@ def codec_digests(df: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         encoder = Encoder(model)
         number = [str(i) for i in range(model.size)]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _chunks(texts):
-                ids, at = encoder.encode(texts[a:b])
+            for a, texts in portions(batch.column(1), CHUNK):
+                ids, at = encoder.encode(texts)
                 back = model.decode(ids, at)
                 shown = [number[i] for i in ids.tolist()]
-                coded = [hashlib.sha256(",".join(shown[at[k] : at[k + 1]]).encode()).hexdigest() for k in range(b - a)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array(np.diff(at)),
-                        pa.array(coded, pa.string()),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                coded = [hashlib.sha256(",".join(shown[at[k] : at[k + 1]]).encode()).hexdigest() for k in range(len(texts))]
+                plain = [hashlib.sha256(t.encode()).hexdigest() for t in back]
+                columns = [batch.column(0).slice(a, len(texts)), pa.array(np.diff(at)), pa.array(coded, pa.string()), pa.array(plain, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
