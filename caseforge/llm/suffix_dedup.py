@@ -10,10 +10,13 @@ suffixes would move the corpus many times over, so only those are sorted that ca
    occurs once have no repeated window. Of equal texts one stands for all.
 2. Runs left over are cut into blocks of 32 window starts at fixed distances from the minimizer.
    A block's windows share a core of `length` - 31 bytes: its suffix, with up to 31 bytes on
-   either side. Its key has the suffix's first 8 bytes, a 128-bit digest of the core, and the sides.
-3. Keys are range-partitioned at splitters drawn from a bounded sample, with the text's number
-   behind the key, so that one core may lie in many buckets. Each bucket sorts its keys by
-   multikey quicksort over 8-byte tokens and compares neighbours. A core whose blocks have equal
+   either side. Its key has the suffix's leading 32 bytes (four tokens of 8), a 128-bit digest of
+   the core that stands for the tokens after those, and the sides.
+3. Keys are range-partitioned by their leading tokens at splitters drawn from a bounded sample, with
+   the text's number behind the key, so that one core may lie in many buckets. Each bucket sorts its
+   keys by multikey quicksort token after token and compares neighbours. Only equality of cores
+   matters for what is removed, so suffixes that agree for 32 bytes may stand in the digest's
+   order. A core whose blocks have equal
    sides decides for all its windows at once, otherwise its single windows are counted.
 4. A bucket's first and last core may go on beyond it. Their blocks are compared across the
    boundaries, window by window, in an aggregation that is combined before its shuffle.
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import removed as forget
-from .common import text_or_empty, written
+from .common import portions, text_or_empty, written
 
 LENGTH = 400
 PIECE = 8
@@ -44,6 +47,8 @@ BLOCK = 32
 SAMPLE_TEXTS, SAMPLE_KEYS, BUCKET_ROWS = 2000, 64, 60_000
 #: Bytes of text whose windows are found at once.
 CHUNK = 4_000_000
+#: Runs of a text whose keys are made at once, and keys that go out at once.
+KEYS_HELD = 2000
 #: Segments below this size are ordered directly.
 SMALL = 256
 
@@ -165,12 +170,13 @@ def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
     return order
 
 
-KEY = 8 + 16 + 2 + 2 * (BLOCK - 1)  # bytes of a key; a multiple of 8
-CORE = 24
+LEAD = 32  # leading bytes of a suffix that a key spells out
+CORE = LEAD + 16
+KEY = CORE + 2 + 2 * (BLOCK - 1)  # bytes of a key; a multiple of 8
 
 
 def _key(core: bytes, left: bytes, right: bytes) -> bytes:
-    return b"".join((core[:8], _digest(core), bytes((len(left), len(right))), left.rjust(BLOCK - 1, b"\0"), right.ljust(BLOCK - 1, b"\0")))
+    return b"".join((core[:LEAD], _digest(core), bytes((len(left), len(right))), left.rjust(BLOCK - 1, b"\0"), right.ljust(BLOCK - 1, b"\0")))
 
 
 def _windows(key: bytes) -> Iterator[tuple[int, bytes]]:
@@ -204,19 +210,20 @@ def _arrow(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _scan(df: DataFrame, length: int) -> DataFrame:
     """Every run of every text: th, doc_id, head (1 in a text's first row), digest, run (place and the distances to its windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a = 0
-            while a < batch.num_rows:
-                texts, held = [], 0
-                while a + len(texts) < batch.num_rows and held < CHUNK // 2:
-                    texts.append(batch.column(1)[a + len(texts)].as_py().encode("utf-8", "replace"))
-                    held += len(texts[-1])
+            for a, found in portions(batch.column(1), CHUNK // 2):
+                texts = [t.encode("utf-8", "replace") for t in found]
                 ids = batch.column(0).slice(a, len(texts)).to_pylist()
-                a += len(texts)
                 names = [_digest(t) for t in texts]
                 which, low, first, last = (x.tolist() for x in runs_of(texts, length))
                 rows, seen = [], set()
@@ -237,9 +244,8 @@ def _named(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                raw = [t.as_py().encode("utf-8", "replace") for t in part.column(1)]
+            for i, texts in portions(batch.column(1), CHUNK):
+                raw, part = [t.encode("utf-8", "replace") for t in texts], batch.slice(i, len(texts))
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(t) for t in raw], pa.binary()), part.column(0), pa.array([pack(t) for t in raw], pa.binary())], names=["th", "doc_id", "packed"])
 
     return df.mapInArrow(run, "th binary, doc_id long, packed binary")
@@ -250,23 +256,23 @@ def _whole(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                raw = [t.as_py().encode("utf-8", "replace") for t in part.column(1)]
+            for i, texts in portions(batch.column(1), CHUNK):
+                raw, part = [t.encode("utf-8", "replace") for t in texts], batch.slice(i, len(texts))
                 columns = [pa.array([_digest(t) for t in raw], pa.binary()), pa.array([len(t) for t in raw], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in raw], pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "th", "n_bytes", "sha256"])
 
     return df.mapInArrow(run, "doc_id long, th binary, n_bytes long, sha256 string")
 
 
-def _text_blocks(raw: bytes, runs: list[int], length: int) -> dict[bytes, list[int]]:
-    """Places of each different key of a text."""
-    out: dict[bytes, list[int]] = {}
-    for r in runs:
-        low = r >> 20
-        for s, core, left, right in blocks_of(raw, low, low - (r & 1023), low - (r >> 10 & 1023), length):
-            out.setdefault(_key(core, left, right), []).append(s)
-    return out
+def _text_blocks(raw: bytes, runs: list[int], length: int) -> Iterator[dict[bytes, list[int]]]:
+    """Places of the different keys of a text, by portions of at most KEYS_HELD runs: a key may come again in a later one."""
+    for at in range(0, len(runs), KEYS_HELD):
+        out: dict[bytes, list[int]] = {}
+        for r in runs[at : at + KEYS_HELD]:
+            low = r >> 20
+            for s, core, left, right in blocks_of(raw, low, low - (r & 1023), low - (r >> 10 & 1023), length):
+                out.setdefault(_key(core, left, right), []).append(s)
+        yield out
 
 
 def _splitters(texts: DataFrame, length: int) -> list[bytes]:
@@ -279,11 +285,11 @@ def _splitters(texts: DataFrame, length: int) -> list[bytes]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for row in batch.to_pylist():
-                keys = sorted(_text_blocks(unpack(row["packed"]), row["runs"], length))
-                step = max(1, -(-len(keys) // SAMPLE_KEYS))
-                own = keys[::step]
-                yield _arrow([(k + row["tid"].to_bytes(8, "big"), len(keys) / len(own)) for k in own], ["k", "w"], [pa.binary(), pa.float64()])
+            for row in _rows(batch):
+                every = max(1, len(row["runs"]) // SAMPLE_KEYS)
+                keys = sorted({k for part in _text_blocks(unpack(row["packed"]), row["runs"][::every], length) for k in part})
+                own = keys[:: max(1, -(-len(keys) // SAMPLE_KEYS))]
+                yield _arrow([(k + row["tid"].to_bytes(8, "big"), every * len(keys) / len(own)) for k in own], ["k", "w"], [pa.binary(), pa.float64()])
 
     place = F.pmod(F.xxhash64("tid", F.lit("splitters")), F.lit(1 << 30))
     drawn = texts.filter(place < F.lit(int(share * (1 << 30)) + 1)).select("tid", "packed", "runs").mapInArrow(run, "k binary, w double")
@@ -303,14 +309,16 @@ def _blocks(texts: DataFrame, splitters: list[bytes], length: int) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         names, kinds = ["bucket", "key", "n", "tid", "places"], [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                rows = []
-                for row in batch.slice(i, 64).to_pylist():
-                    number = row["tid"].to_bytes(8, "big")
-                    for key, at in _text_blocks(unpack(row["packed"]), row["runs"], length).items():
-                        rows.append((bisect_right(splitters, key + number), key, min(2, row["n"] * len(at)), row["tid"], np.array(at, dtype=np.int64).tobytes()))
-                if rows:
-                    yield _arrow(rows, names, kinds)
+            rows: list[tuple] = []
+            for row in _rows(batch):
+                number, raw = row["tid"].to_bytes(8, "big"), unpack(row["packed"])
+                for part in _text_blocks(raw, row["runs"], length):
+                    rows += [(bisect_right(splitters, key + number), key, min(2, row["n"] * len(at)), row["tid"], np.array(at, dtype=np.int64).tobytes()) for key, at in part.items()]
+                    if len(rows) >= KEYS_HELD:
+                        yield _arrow(rows, names, kinds)
+                        rows = []
+            if rows:
+                yield _arrow(rows, names, kinds)
 
     return texts.select("tid", "packed", "n", "runs").mapInArrow(run, "bucket int, key binary, n long, tid long, places binary")
 
@@ -404,11 +412,13 @@ def candidates(own: DataFrame, length: int = LENGTH) -> DataFrame:
     Of copies the one with the least doc_id stands for all; the join on (text digest, doc_id) deals them out.
     """
     runs, path = written(_scan(own, length), "runs")
-    often = runs.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest")
+    # a written side, so that Spark can split the rows of a digest that very many runs share
+    often, often_path = written(runs.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest"), "often")
     held = runs.join(often, "digest", "left_semi")
     by_text = held.groupBy("th").agg(F.collect_set("run").alias("runs"), F.min("doc_id").alias("least"), F.least(F.greatest(F.sum("head"), F.lit(1)), F.lit(2)).alias("n"))
     by_text, _ = written(by_text.withColumnRenamed("th", "of"), "texts")
     forget(own.sparkSession, path)
+    forget(own.sparkSession, often_path)
     found = _named(own).join(by_text, (F.col("th") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
     return written(found.select(F.monotonically_increasing_id().alias("tid"), "th", "packed", "n", "runs"), "candidates")[0]
 
@@ -427,27 +437,31 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _cut(text: bytes, starts: list[bytes], length: int) -> tuple[int, int, bytes]:
-    """Removed bytes, maximal removed runs, and what is left."""
+    """Removed bytes, maximal removed runs, and what is left; works on spans, whatever the text's size."""
     pairs = np.concatenate([np.frombuffer(s, dtype=np.int64).reshape(-1, 2) for s in starts]) if starts else np.zeros((0, 2), dtype=np.int64)
-    change = np.zeros(len(text) + 1, dtype=np.int64)
-    np.add.at(change, pairs[:, 0], 1)
-    np.add.at(change, pairs[:, 1] + length, -1)
-    gone = np.cumsum(change[:-1]) > 0
-    count = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-    return int(gone.sum()), count, np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
+    if not len(pairs):
+        return 0, 0, text
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    first, upto = pairs[:, 0], np.maximum.accumulate(pairs[:, 1] + length)
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > upto[:-1]]))
+    begin, end = first[new], upto[np.concatenate([new[1:], [len(upto)]]) - 1]
+    edges = zip(np.concatenate([[0], end]).tolist(), np.concatenate([begin, [len(text)]]).tolist(), strict=True)
+    return int((end - begin).sum()), len(new), b"".join([text[a:b] for a, b in edges])
 
 
 def removal_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (bytes left), cut (whether it lost any) for each row.
 
     Null texts count as empty; texts shorter than `length` bytes lose nothing; rows with equal texts
-    (repeated rows too) repeat each other, so from `length` bytes on they lose everything; an empty
-    table gives an empty result.
+    (repeated rows too) repeat each other, so from `length` bytes on they lose everything; very
+    long texts are read by windows and cut by spans; ids may be null or repeated; other columns are
+    left aside; an empty table gives an empty result.
     """
     own = _texts(df, doc_id, text)
     done, _ = written(_kept(own, length, False), "cut")
     rows = _whole(own).join(done.dropDuplicates(["of"]), F.col("th") == F.col("of"), "left")
-    return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
+    gone = F.coalesce("n_removed", F.lit(0))
+    return rows.select("doc_id", "n_bytes", gone.alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), (F.col("n_bytes") - gone).alias("n_kept"), (gone > 0).alias("cut"))
 
 
 def _kept(own: DataFrame, length: int, whole: bool) -> DataFrame:
@@ -461,13 +475,16 @@ def _kept(own: DataFrame, length: int, whole: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = []
-                for row in batch.slice(i, 256).to_pylist():
-                    removed, count, kept = _cut(unpack(row["packed"]), row["starts"], length)
-                    rows.append((row["th"], removed, count, hashlib.sha256(kept).hexdigest(), *([kept] if whole else [])))
-                if rows:
+            rows, held = [], 0
+            for row in _rows(batch):
+                removed, count, kept = _cut(unpack(row["packed"]), row["starts"], length)
+                rows.append((row["th"], removed, count, hashlib.sha256(kept).hexdigest(), *([kept] if whole else [])))
+                held += len(kept)
+                if held >= CHUNK or len(rows) >= 256:
                     yield _arrow(rows, names, kinds)
+                    rows, held = [], 0
+            if rows:
+                yield _arrow(rows, names, kinds)
 
     return cut.mapInArrow(run, "of binary, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * whole)
 
