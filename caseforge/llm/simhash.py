@@ -24,20 +24,38 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, text_or_empty, written
+from .common import free_name, portions, table_bytes, text_or_empty, written
 from .components import components
 
 WORDS = 4
 BITS = 4
 PARTS = 3
-TOP = 8
+#: Least number of the levels that Spark deals out, and the fingerprints that a node should hold.
+TOP, NODE_ROWS = 8, 4000
 SEED = 42
 #: Node pairs held at once by a task's frontier piece.
 PIECE = 200_000
+#: Bytes of a written table up to which it is broadcast.
+BROADCAST_BYTES = 16 << 20
 #: Two nodes of so few fingerprint pairs are compared directly.
 LEAF = 16
 
 
+def bit_counts(values: np.ndarray) -> np.ndarray:
+    """How many of the values have each bit: rows x 64, bit 0 first, for rows of unsigned 64-bit values.
+
+    Eight bits at a time are summed as the bytes of a word, over at most 255 values.
+    """
+    rows, n = values.shape
+    full = np.zeros((rows, -(-n // 255), 255), dtype=np.uint64)
+    full.reshape(rows, -1)[:, :n] = values
+    out = np.empty((rows, 8, 8), dtype=np.int64)
+    for k in range(8):
+        lanes = ((full >> np.uint64(k)) & np.uint64(0x0101010101010101)).sum(axis=2, dtype=np.uint64)
+        out[:, :, k] = lanes.astype("<u8").view(np.uint8).reshape(rows, -1, 8).sum(axis=1, dtype=np.int64)
+    return out.reshape(rows, 64)
+
+
 def fingerprint(text: str, words: int = WORDS) -> int:
     """64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
@@ -52,10 +70,10 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     ends = (ends[words - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     total, count = np.zeros(64, dtype=np.int64), len(starts)
-    for at in range(0, count, 4096):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + 4096], ends[at : at + 4096], strict=True)], dtype=">u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > count).tobytes(), "big")
+    for at in range(0, count, 4080):
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + 4080], ends[at : at + 4080], strict=True)], dtype=np.uint64)
+        total += bit_counts(hashes[None])[0]
+    return int.from_bytes(np.packbits((total * 2 > count)[::-1]).tobytes(), "big")
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, row: Column | None = None) -> DataFrame:
@@ -65,9 +83,9 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                own = np.array([fingerprint(t.as_py(), words) for t in part.column(1)], dtype=np.uint64)
+            for a, texts in portions(batch.column(1), 1_000_000):
+                part = batch.slice(a, len(texts))
+                own = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.view(np.int64)), *part.columns[2:]], names=names)
 
     return source.mapInArrow(run, "doc_id long, fp long" + ("" if row is None else ", row string"))
@@ -128,18 +146,17 @@ def _products(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) ->
     return i[own], j[own]
 
 
-def trie_links(node: np.ndarray, side: np.ndarray, value: np.ndarray, stretch: np.ndarray, rotation: np.ndarray, top: int, bits: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the rotated fingerprints of one task.
+def trie_links(node: np.ndarray, value: np.ndarray, name: np.ndarray, stretch: np.ndarray, top: int, bits: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the rotated fingerprints of one task, between their names.
 
-    node: number of the trie node that a row has come to; side: the row's own prefix; value: the
-    rotated fingerprint; stretch and rotation: by row, the length of the first stretch and the turn.
-    Rows whose prefix is the node's own meet each other and all the node's other rows.
+    node: number of the trie node that a row has come to; value: the rotated fingerprint, whose
+    prefix is the row's own; name: what it belongs to; stretch: by row, the length of the first
+    stretch. Rows whose prefix is the node's own meet each other and all the node's other rows.
     """
+    side = (value >> np.uint64(64 - top)).astype(np.int64)
     by = np.lexsort((value, side, node))
-    node, side, value, stretch, rotation = node[by], side[by], value[by], stretch[by], rotation[by]
-    turn = rotation.astype(np.uint64)
-    plain = np.where(turn == 0, value, (value >> turn) | (value << ((np.uint64(64) - turn) & np.uint64(63))))
-    names, which = np.unique(plain, return_inverse=True)
+    node, side, value, stretch = node[by], side[by], value[by], stretch[by]
+    names, which = np.unique(name[by], return_inverse=True)
     found = _Found(which, len(names))
     near = np.flatnonzero((node[1:] == node[:-1]) & (np.bitwise_count(value[1:] ^ value[:-1]) <= bits))
     found.add(near, near + 1)
@@ -194,43 +211,54 @@ def trie_links(node: np.ndarray, side: np.ndarray, value: np.ndarray, stretch: n
     return names[np.concatenate([x for x, _ in found.links])], names[np.concatenate([y for _, y in found.links])]
 
 
-def links(distinct: DataFrame, bits: int = BITS, parts: int = PARTS, top: int = TOP) -> DataFrame:
-    """Links (a, b) that span the components of the fingerprints (column fp) under `bits` differing bits."""
-    inner = bits // parts
-    if inner > 1:
+def links(prints: DataFrame, bits: int, parts: int, top: int, several: int = 0) -> DataFrame:
+    """Links (a, b) between names that span the components of their fingerprints under `bits` differing bits.
+
+    prints: fp, name. With `several`, which says of how many independent fingerprints each name has
+    one; those of a kind meet, and only where the first `top` bits of a stretch agree, which
+    saves the copies of a row that go to the nodes one bit away (pairs are missed: see the caller).
+    """
+    inner = bits // parts if not several else 1
+    if inner > 1 and not several:
         raise ValueError("bits must be under twice the parts: a task meets nodes that differ in one bit at most")
     cuts = [64 * k // parts for k in range(parts + 1)]
+    which = F.col("which").cast("long") if several else F.lit(0).cast("long")
     spread = []
     for k in range(parts):
         turn = cuts[k]
         rotated = F.col("fp") if turn == 0 else F.shiftleft("fp", turn).bitwiseOR(F.shiftrightunsigned("fp", 64 - turn))
         prefix = F.shiftrightunsigned(rotated, 64 - top)
-        others = [F.when(prefix.bitwiseAND(F.lit(1 << b)) != 0, prefix - F.lit(1 << b)) for b in range(top)] if inner else []
+        others = [F.when(prefix.bitwiseAND(F.lit(1 << b)) != 0, prefix - F.lit(1 << b)) for b in range(top)] if inner and not several else []
         for to in [prefix, *others]:
-            spread.append(F.struct((F.lit(k << top) + to).alias("node"), prefix.alias("side"), rotated.alias("value")))
-    dealt = distinct.select(F.explode(F.array(*spread)).alias("x")).select("x.*").filter("node is not null").repartition("node")
+            spread.append(F.struct((F.shiftleft(which * parts + k, top) + to).alias("node"), rotated.alias("value")))
+    dealt = prints.select("name", F.explode(F.array(*spread)).alias("x")).select("x.node", "x.value", "name").filter("node is not null").repartition("node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, schema=pa.schema([("node", pa.int64()), ("side", pa.int64()), ("value", pa.int64())]))
+        table = pa.Table.from_batches(batches, schema=pa.schema([("node", pa.int64()), ("value", pa.int64()), ("name", pa.int64())]))
         if table.num_rows:
-            node, side, value = (table.column(k).to_numpy() for k in range(3))
-            part = node >> top
-            length = np.diff(cuts)[part]
-            a, b = trie_links(node, side, value.view(np.uint64), length, np.array(cuts)[part], top, bits, inner)
+            node, value, name = (table.column(k).to_numpy() for k in range(3))
+            length = np.diff(cuts)[(node >> top) % parts]
+            a, b = trie_links(node, value.view(np.uint64), name, length, top, bits, inner)
             for at in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].view(np.int64)) for x in (a, b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (a, b)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _roots(prints: DataFrame, bits: int, parts: int, top: int) -> DataFrame:
+def top_of(n: int, parts: int = PARTS) -> int:
+    """Levels of the trie that Spark deals out, so that a node holds some thousands of n fingerprints."""
+    return min(64 // parts - 1, max(TOP, (n // NODE_ROWS).bit_length()))
+
+
+def _roots(prints: DataFrame, bits: int, parts: int, top: int | None) -> DataFrame:
     """fp, least (its least doc_id), n (its rows), root (least fingerprint of its component, null without links)."""
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    roots = components(links(distinct.select("fp"), bits, parts, top))
+    distinct, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    top = top or top_of(distinct.count(), parts)
+    roots = components(links(distinct.select("fp", F.col("fp").alias("name")), bits, parts, top))
     return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", "root")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, parts: int = PARTS, top: int = TOP) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, parts: int = PARTS, top: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
 
     Null, empty and wordless texts have fingerprint 0 and are linked like any other; a null doc_id
@@ -253,15 +281,24 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 def one_a_group(df: DataFrame, grouped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of df with the least (doc_id, digest) of each group; columns as they came.
 
-    grouped: doc_id, row (the row_key) and the group of each row. Null ids come last.
+    grouped: doc_id, row (the row_key) and the group of each row. Null ids come last. Rows that go
+    are few as a rule: where their table is small (checked) it is broadcast and texts don't move.
     """
     key = free_name(df, "_row")
+    own, _ = written(grouped, "grouped")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
-    chosen = grouped.groupBy("group").agg(least.alias("least")).select(F.col("least.row").alias(key))
-    return df.withColumn(key, row_key(doc_id, text)).join(chosen, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in df.columns])
-
-
-def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, parts: int = PARTS, top: int = TOP) -> DataFrame:
+    chosen = own.groupBy("group").agg(least.alias("least")).select(F.col("least.row").alias("chosen"))
+    keys = own.groupBy("row").agg(F.count(F.lit(1)).alias("n")).join(chosen, F.col("row") == F.col("chosen"), "left")
+    told = keys.filter("n > 1 or chosen is null").select(F.col("row").alias(key), F.col("chosen").isNotNull().alias("repeated"))
+    told, path = written(told, "told")
+    told = F.broadcast(told) if table_bytes(df.sparkSession, path) <= BROADCAST_BYTES else told
+    keyed, names = df.withColumn(key, row_key(doc_id, text)), [F.col(f"`{c}`") for c in df.columns]
+    alone = keyed.join(told, key, "left_anti").select(*names)
+    repeated = keyed.join(told.filter("repeated"), key, "left_semi").dropDuplicates([key]).select(*names)
+    return alone.unionByName(repeated)
+
+
+def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, parts: int = PARTS, top: int | None = None) -> DataFrame:
     """One row of each component of fingerprints: the one with the least id; columns as they came.
 
     Ids needn't be unique or given: a component keeps one row whatever its ids, so different texts
