@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseforge.llm import line_dedup, mixing, sentencepiece_codec, shingle_copies, toxicity
+from caseforge.llm import line_dedup, mixing, near_copies, sentencepiece_codec, toxicity
 from caseforge.llm.common import written
 from caseforge.llm.queries import tokenizer_path
 
@@ -28,7 +28,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word Jaccard similarity of 0.8 or more, in links."""
-    return shingle_copies.deduplicated(docs)
+    return near_copies.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
