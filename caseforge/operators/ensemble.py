@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 
 def summary(df: DataFrame, case: str) -> DataFrame:
-    """n, mean, median, sd and the share of positive votes of each case."""
-    return df.groupBy(case).agg(F.count("score").alias("n"), F.avg("score").alias("mean"), F.percentile("score", 0.5).alias("median"), F.stddev_samp("score").alias("sd"), F.avg((F.col("score") > 0).cast("double")).alias("p_positive"))
+    """n, mean, median, sd, the share of positive votes, and low and high (2.5 and 97.5 percent, Hazen) of each case's scores."""
+    sorted_ = F.sort_array(F.filter(F.collect_list("score"), lambda x: x.isNotNull()))  # a score a learner
+    g = df.groupBy(case).agg(F.count("score").alias("n"), F.avg("score").alias("mean"), F.percentile("score", 0.5).alias("median"), F.stddev_samp("score").alias("sd"), F.avg((F.col("score") > 0).cast("double")).alias("p_positive"), sorted_.alias("_s"))
+
+    def tail(percent: float):
+        at = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), F.col("n") * (percent / 100) + 0.5))
+        low, high = F.get("_s", (F.floor(at) - 1).cast("int")), F.get("_s", (F.ceil(at) - 1).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    return g.withColumn("low", tail(2.5)).withColumn("high", tail(97.5)).drop("_s")
 
 
 def decision(df: DataFrame, case: str) -> DataFrame:

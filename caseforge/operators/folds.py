@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import lowest
+
 
 def hashed(case: str, seed: Column | str | int) -> Column:
     seed = seed if isinstance(seed, Column) else F.lit(str(seed))
     return F.md5(F.concat(F.col(case).cast("string"), F.lit(":"), seed.cast("string")))
 
 
+def hashed_number(case: str, seed: Column | str | int) -> Column:
+    """The first 52 bits of `hashed`, as a number."""
+    return F.conv(F.substring(hashed(case, seed), 1, 13), 16, 10).cast("long")
+
+
 def stratified(df: DataFrame, case: str, strata: list[str], k: int, perms: int = 1, prefix: str = "cv2") -> DataFrame:
     """Adds <prefix>_perm (from 1) and <prefix>_fold (1 to k): in each stratum, rank by hash modulo k.
 
@@ -44,22 +51,39 @@ def leave_group_out(df: DataFrame, group: str) -> DataFrame:
     return df.join(F.broadcast(g) if g.count() <= 10_000 else g, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
+#: Classes that a decomposition takes; more fail rather than drop any (dichotomies grow with their square).
+CLASSES = 1000
+
+
+def _classes(df: DataFrame, cls: str) -> list:
+    names = sorted(r[0] for r in df.filter(F.col(cls).isNotNull()).select(cls).distinct().limit(CLASSES + 1).collect())
+    if len(names) > CLASSES:
+        raise ValueError(f"{cls} has over {CLASSES} classes")
+    return names
+
+
+def _dichotomies(df: DataFrame, cls: str, rows: list[tuple]) -> DataFrame:
+    """Joins each row to the dichotomies of its class; rows: (class, name, side)."""
+    kind = dict(df.dtypes)[cls]
+    table = df.sparkSession.createDataFrame(rows, f"_cls {kind}, class_b string, y_b int")
+    return df.join(table, F.col(cls) == F.col("_cls")).drop("_cls")
+
+
 def one_vs_one(df: DataFrame, cls: str) -> DataFrame:
-    """(class_b, y): each pair of classes a < b, +1 for a, -1 for b; other classes aren't members."""
-    names = sorted(r[0] for r in df.select(cls).distinct().limit(1001).collect() if r[0] is not None)
+    """(class_b, y_b): each pair of classes a < b, +1 for a, -1 for b; other classes aren't members."""
+    names = _classes(df, cls)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    made = F.array(*[F.struct(F.lit(f"{a}-{b}").alias("class_b"), F.when(F.col(cls) == a, 1).when(F.col(cls) == b, -1).alias("y")) for a, b in pairs])
-    return df.select("*", F.explode(made).alias("_d")).select(*df.columns, "_d.class_b", F.col("_d.y").alias("y_b")).filter("y_b is not null")
+    return _dichotomies(df, cls, [row for a, b in pairs for row in ((a, f"{a}-{b}", 1), (b, f"{a}-{b}", -1))])
 
 
 def one_vs_all(df: DataFrame, cls: str) -> DataFrame:
-    names = sorted(r[0] for r in df.select(cls).distinct().limit(1001).collect() if r[0] is not None)
-    made = F.array(*[F.struct(F.lit(str(a)).alias("class_b"), F.when(F.col(cls) == a, 1).otherwise(-1).alias("y")) for a in names])
-    return df.select("*", F.explode(made).alias("_d")).select(*df.columns, "_d.class_b", F.col("_d.y").alias("y_b"))
+    names = _classes(df, cls)
+    return _dichotomies(df, cls, [(c, str(a), 1 if c == a else -1) for a in names for c in names])
 
 
 def undersampled(df: DataFrame, case: str, label: str, ratio: float) -> DataFrame:
-    """All positives and at most ratio x positives of the negatives, by hash order."""
+    """All positives and at most ratio x positives of the negatives, the lowest ones by hash."""
     n = df.filter(F.col(label) > 0).count()
-    rest = df.filter(F.col(label) < 0).orderBy(hashed(case, 42), case).limit(int(ratio * n))
-    return df.filter(F.col(label) > 0).unionByName(rest)
+    rest = df.filter(F.col(label) < 0).withColumn("_h", hashed_number(case, F.lit("42"))).withColumn("_all", F.lit(1))
+    whole, edge = lowest(rest, ["_all"], "_h", F.lit(int(ratio * n)), case)
+    return df.filter(F.col(label) > 0).unionByName(whole.unionByName(edge).drop("_h", "_all"))

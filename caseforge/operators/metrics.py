@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import correlation
-from .order import bounds_of, bucket_of, running
+from .order import running, with_bucket
 
 
 def confusion(df: DataFrame, part: list[str], y: str = "y", score: str = "score") -> DataFrame:
@@ -93,7 +93,7 @@ def errors(df: DataFrame, part: list[str], y: str, p: str) -> DataFrame:
 
 def equal_bins(df: DataFrame, part: list[str], p: str, case: str, bins: int) -> DataFrame:
     """Adds bin (1 to bins): sorted by p, then case; the first n mod bins bins hold one more."""
-    key = df.withColumn("_b", bucket_of(F.col(p), bounds_of(df, p)))
+    key = with_bucket(df, part, p)
     counts = key.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*part)
     starts = counts.select(*[F.col(x).alias(f"_{x}") for x in part], F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_n").over(w).alias("_all"))

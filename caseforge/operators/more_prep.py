@@ -62,6 +62,10 @@ def label_impute(df: DataFrame, case: str, features: str, label: str, k: int) ->
     return vote(nearest(known, gaps, case, features, k), known, case, label).select(F.col("query").alias(case), F.col("predicted").alias(label))
 
 
+#: Cases of a window over symbols.
+SYMBOL_BLOCK = 4096
+
+
 def symbol_entropies(df: DataFrame, params: DataFrame, case: str, start: int, stop: int, width: float, word: int) -> DataFrame:
     """For each feature and number of bins: the entropy of words of `word` neighbouring symbols (cases in id order).
 
@@ -71,8 +75,14 @@ def symbol_entropies(df: DataFrame, params: DataFrame, case: str, start: int, st
     own = applied(df, params, ["feat"]).filter("value is not null").withColumn("bins", F.explode(F.sequence(F.lit(start), F.lit(stop))))
     share = (F.col("value") - (F.col("centre") - width * F.col("sd"))) / (2 * width * F.col("sd"))
     own = own.withColumn("symbol", F.greatest(F.lit(0), F.least(F.col("bins") - 1, F.floor(share * F.col("bins")))).cast("string"))
-    block = Window.partitionBy("feat", "bins", F.floor(F.col(case) / 4096)).orderBy(case)  # words don't cross blocks of ids
-    words = own.withColumn("w", F.concat_ws("-", "symbol", *[F.lead("symbol", i).over(block) for i in range(1, word)])).withColumn("last", F.lead("symbol", word - 1).over(block)).filter("last is not null")
+    placed = running(own.filter(F.col("bins") == start).select("feat", case, F.lit(1).cast("long").alias("_one")), ["feat"], case, ["_one"])
+    own = own.join(placed.select(F.col("feat").alias("_f"), F.col(case).alias("_case"), F.col("before__one").alias("_place")), (F.col("feat") == F.col("_f")) & (F.col(case) == F.col("_case")))
+    # blocks of places; the first word - 1 cases of a block stand at the end of the one before as well
+    at = F.floor(F.col("_place") / SYMBOL_BLOCK)
+    also = F.when((F.col("_place") % SYMBOL_BLOCK < word - 1) & (at > 0), F.array(at, at - 1)).otherwise(F.array(at))
+    own = own.withColumn("_at", at).withColumn("_block", F.explode(also))
+    block = Window.partitionBy("feat", "bins", "_block").orderBy("_place")
+    words = own.withColumn("w", F.concat_ws("-", "symbol", *[F.lead("symbol", i).over(block) for i in range(1, word)])).withColumn("last", F.lead("symbol", word - 1).over(block)).filter("last is not null and _block = _at")
     c = words.groupBy("feat", "bins", "w").agg(F.count(F.lit(1)).cast("double").alias("n"))
     return c.groupBy("feat", "bins").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("entropy"))
 
@@ -116,14 +126,33 @@ def signed(basis: np.ndarray) -> np.ndarray:
 
 
 def discriminant(df: DataFrame, features: str, cls: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and basis of the supervised projection: between-class over within-class scatter, from one Gram matrix a class."""
-    classes = [r[0] for r in df.select(cls).distinct().limit(200).collect()]
-    parts = [gram(df.filter(F.col(cls) == c), features) for c in classes]
-    n = sum(p[2] for p in parts)
-    mean = sum(p[0] * p[2] for p in parts) / n
-    within = sum(p[1] * p[2] for p in parts) / n
-    between = sum(np.outer(p[0] - mean, p[0] - mean) * p[2] for p in parts) / n
-    values, vectors = np.linalg.eig(np.linalg.solve(within + 1e-9 * np.eye(len(mean)), between))
+    """Mean and basis of the supervised projection: between-class over within-class scatter.
+
+    Any number of classes: their sums are added by Spark, and the scatter between them is a sum over classes.
+    """
+    mean, total, n = gram(df, features)
+    d = len(mean)
+    kind = dict(df.dtypes)[cls]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for c, part in pdf.groupby(cls):
+                x = np.array(part[features].tolist(), dtype=float)
+                yield pd.DataFrame({"c": [c] * d, "i": np.arange(d), "s": x.sum(axis=0), "n": [len(x)] * d})
+
+    parts = df.select(cls, features).mapInPandas(sums, f"c {kind}, i int, s double, n long").groupBy("c", "i").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    means = parts.groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("s"), F.first("n").alias("n"))  # d numbers a class
+
+    def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((d, d))
+        for pdf in batches:
+            for s, m in zip(pdf["s"], pdf["n"], strict=True):
+                off = np.asarray(s) / m - mean
+                out += m * np.outer(off, off)
+        yield pd.DataFrame({"b": [out.ravel().tolist()]})
+
+    between = sum((np.array(r["b"]).reshape(d, d) for r in means.mapInPandas(scatter, "b array<double>").collect()), np.zeros((d, d))) / n
+    values, vectors = np.linalg.eig(np.linalg.solve(total - between + 1e-9 * np.eye(d), between))
     order = np.argsort(-values.real)[:k]
     return mean, signed(vectors.real[:, order])
 

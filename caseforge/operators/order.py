@@ -10,31 +10,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 64
+#: Parts up to which their bounds go through the driver and are broadcast (PARTS x BUCKETS numbers).
+PARTS = 5000
 
 
-def bounds_of(df: DataFrame, order: str, buckets: int = BUCKETS) -> list[float]:
+def with_bucket(df: DataFrame, part: list[str], order: str, buckets: int = BUCKETS) -> DataFrame:
+    """Adds _b: how many of the part's own approximate quantiles lie below the value."""
     shares = [k / buckets for k in range(1, buckets)]
-    found = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 2000)).first()[0]
-    return sorted(set(found or []))
-
-
-def bucket_of(value: Column, bounds: list[float]) -> Column:
-    """How many bounds lie below the value, as a tree of comparisons."""
-    if not bounds:
-        return F.lit(0)
+    number = F.col(order).cast("double")
+    bounds = df.groupBy(*part).agg(F.percentile_approx(number, shares, 2000).alias("_bounds"))
+    bounds = bounds.select(*[F.col(p).alias(f"_g_{p}") for p in part], "_bounds")
+    rows = bounds.limit(PARTS + 1).collect()
+    known = F.broadcast(df.sparkSession.createDataFrame(rows, bounds.schema)) if len(rows) <= PARTS else bounds
 
     def tree(a: int, b: int) -> Column:
         if a == b:
             return F.lit(a)
         m = (a + b) // 2
-        return F.when(value <= F.lit(bounds[m]), tree(a, m)).otherwise(tree(m + 1, b))
+        return F.when(number <= F.get("_bounds", F.lit(m)), tree(a, m)).otherwise(tree(m + 1, b))
 
-    return tree(0, len(bounds))
+    joined = df.join(known, [F.col(p).eqNullSafe(F.col(f"_g_{p}")) for p in part], "left") if part else df.crossJoin(known)  # one row
+    return joined.select(*df.columns, F.when(F.col("_bounds").isNull() | F.isnull(order), F.lit(0)).otherwise(tree(0, buckets - 1)).alias("_b"))
 
 
 def running(df: DataFrame, part: list[str], order: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Adds before_<s> (sums of rows with lower `order` in the same part) and all_<s>. `order` must be distinct in a part."""
-    own = df.withColumn("_b", bucket_of(F.col(order).cast("double"), bounds_of(df, order, buckets)))
+    own = with_bucket(df, part, order, buckets)
     totals = own.groupBy(*part, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     w = Window.partitionBy(*part)
     early = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -48,6 +49,30 @@ def running(df: DataFrame, part: list[str], order: str, sums: list[str], buckets
     return own.select(*df.columns, *[(F.col(f"_i_{s}") + F.col(f"_e_{s}")).alias(f"before_{s}") for s in sums], *[f"all_{s}" for s in sums])
 
 
+#: Cells that evenly spread numbers under 2 ** 52 are counted in, to find a rank without a sort.
+_CELL_BITS = 12
+
+
+def lowest(df: DataFrame, part: list[str], order: str, many: Column, tie: str, value: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The `many` rows of each part with the lowest `order`, as two tables with _cell: whole cells, and what is taken of the cell on the edge.
+
+    order: a hash of 52 bits, so a part's rows fall evenly into 4,096 cells; a count of them finds the
+    edge, and only its cell is sorted. With `value`, the first table is its sum by part instead of rows.
+    """
+    own = df.withColumn("_cell", F.shiftright(order, 52 - _CELL_BITS).cast("int"))
+    cells = own.groupBy(*part, "_cell").agg(F.count(F.lit(1)).alias("_c"), F.sum(value or F.lit(0)).alias("_v"))
+    early = Window.partitionBy(*part).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 cells a part at most
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_c").over(early), F.lit(0))).withColumn("_many", many)
+    whole = cells.filter("_before + _c <= _many")
+    edge = cells.filter("_before < _many and _before + _c > _many").select(*[F.col(p).alias(f"_e_{p}") for p in part], F.col("_cell").alias("_at"), (F.col("_many") - F.col("_before")).alias("_rest"))
+    on = [F.col(p).eqNullSafe(F.col(f"_e_{p}")) for p in part] + [F.col("_cell") == F.col("_at")]
+    border = own.join(edge, on).withColumn("_r", F.row_number().over(Window.partitionBy(*part, "_cell").orderBy(order, tie))).filter("_r <= _rest")
+    if value:
+        return whole.groupBy(*part).agg(F.sum("_v").alias("total")), border.groupBy(*part).agg(F.sum(value).alias("total"))
+    taken = whole.select(*[F.col(p).alias(f"_e_{p}") for p in part], F.col("_cell").alias("_at"))
+    return own.join(taken, on, "left_semi").select(*df.columns), border.select(*df.columns)
+
+
 def counted(df: DataFrame, part: list[str], value: str) -> DataFrame:
     """One row for each value of a part: n, before_n, all_n (missing values left out)."""
     grouped = df.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("n"))

@@ -51,11 +51,29 @@ def standardise(df: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     return applied(df, params, keys).withColumn("value", z).drop("centre", "sd")
 
 
+def _clipped(z: DataFrame, at: float) -> DataFrame:
+    return z.withColumn("value", F.greatest(F.lit(-at), F.least(F.lit(at), F.col("value"))) + F.col("value") * 0)  # a missing value stays missing
+
+
+def fit_winsorise(train: DataFrame, keys: list[str], at: float, median: bool = False) -> DataFrame:
+    """centre, sd, and shift: the mean (or median) of the training rows' clipped z scores."""
+    p = fit_standard(train, keys, median)
+    z = _clipped(standardise(train, p, keys), at)
+    shift = medians(z, keys, "value", "shift") if median else z.groupBy(*keys).agg(F.avg("value").alias("shift"))
+    return p.join(shift.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "shift"), [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys], "left").drop(*[f"_s_{k}" for k in keys])
+
+
 def winsorise(df: DataFrame, params: DataFrame, keys: list[str], at: float) -> DataFrame:
-    """z scores clipped to +-at, then centred again by the mean of the clipped scores."""
-    z = standardise(df, params, keys).withColumn("value", F.greatest(F.lit(-at), F.least(F.lit(at), F.col("value"))))
-    centre = z.groupBy(*keys).agg(F.avg("value").alias("centre"))
-    return applied(z, centre, keys).withColumn("value", F.col("value") - F.col("centre")).drop("centre")
+    """z scores clipped to +-at, less the training rows' shift, to 9 places."""
+    z = _clipped(standardise(df, params.drop("shift"), keys), at)
+    return applied(z, params.select(*keys, "shift"), keys).withColumn("value", F.round(F.col("value") - F.col("shift"), Z_PLACES)).drop("shift")
+
+
+def fit_standard_iqr(train: DataFrame, keys: list[str]) -> DataFrame:
+    """centre: the median; sd: the interquartile range at Hazen's positions."""
+    q = hazen(train, keys, "value", [25, 50, 75])
+    spread = F.col("p75") - F.col("p25")
+    return q.select(*keys, F.when(spread > 2.3e-308, spread).otherwise(F.lit(NO_SPREAD)).alias("sd"), F.col("p50").alias("centre"))
 
 
 def fit_mean(train: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,30 +4,59 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import erfc, two_sided_normal_p
+from .order import counted, with_bucket
+
+
+#: Tests up to which the harmonic sum is added up; beyond, its series is exact to the last digit.
+SUMMED = 100_000
+
+
+def _harmonic(m: Column) -> Column:
+    added = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(SUMMED)).cast("int")), F.lit(0.0), lambda a, k: a + 1 / k)
+    return F.when(m <= SUMMED, added).otherwise(F.log(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m))
 
 
 def fdr(df: DataFrame, test: str, p: str = "p", dependent: bool = False, part: list[str] | None = None) -> DataFrame:
-    """Step-up adjusted p (with `dependent`, times the harmonic sum), capped at 1. One row a test."""
-    w = Window.partitionBy(*(part or [F.lit(1)]))
-    m = F.count(F.lit(1)).over(w)
-    rank = F.row_number().over(w.orderBy(p, test))
-    own = df.withColumn("_m", m).withColumn("_r", rank)
-    factor = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda a, k: a + 1 / k) if dependent else F.lit(1.0)
-    own = own.withColumn("_x", F.col(p) * F.col("_m") / F.col("_r") * factor)
-    made = F.min("_x").over(w.orderBy(F.col("_r").desc()))
-    return own.withColumn("adjusted", F.least(F.lit(1.0), made)).drop("_m", "_r", "_x")
+    """Step-up adjusted p (with `dependent`, times the harmonic sum), capped at 1. One row a test.
+
+    Equal p share the rank of the last of them and so their result: it is made for each value, by
+    running counts and by least values from behind, through buckets, so tests may be any number.
+    """
+    keys = part or []
+    own = df if part else df.withColumn("_whole", F.lit(1))
+    keys = keys or ["_whole"]
+    c = with_bucket(counted(own, keys, p), keys, p)
+    m = F.col("all_n").cast("double")
+    c = c.withColumn("_x", F.col(p) * m / (F.col("before_n") + F.col("n")) * (_harmonic(F.col("all_n")) if dependent else F.lit(1.0)))
+    inside = Window.partitionBy(*keys, "_b").orderBy(F.col(p).desc())
+    later = Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    behind = c.groupBy(*keys, "_b").agg(F.min("_x").alias("_m")).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_c"), F.min("_m").over(later).alias("_later"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    c = c.withColumn("_in", F.min("_x").over(inside)).join(behind, [*same, F.col("_b") == F.col("_c")])
+    found = c.select(*[F.col(k).alias(f"_j_{k}") for k in keys], F.col(p).alias("_p"), F.least(F.lit(1.0), "_in", "_later").alias("adjusted"))
+    out = own.join(found, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys] + [F.col(p) == F.col("_p")], "left")
+    return out.select(*df.columns, "adjusted")
 
 
 def holm(df: DataFrame, test: str, p: str = "p") -> DataFrame:
-    """Step-down p (m - i + 1): the greater of each and its predecessor only, without a cap, as the reference computes it."""
-    w = Window.partitionBy(F.lit(1))
-    own = df.withColumn("_m", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(p, test)))
+    """Step-down p (m - i + 1): the greater of each and its predecessor only, without a cap, as the reference computes it.
+
+    Windows run inside buckets of p; a bucket's first test meets the last one of the bucket before.
+    """
+    own = with_bucket(df.withColumn("_whole", F.lit(1)), ["_whole"], p)
+    every = Window.partitionBy("_whole").orderBy("_b")  # a row a bucket
+    edges = own.groupBy("_whole", "_b").agg(F.count(F.lit(1)).alias("_n"), F.max(p).alias("_top"))
+    edges = edges.select(F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("_whole")).alias("_m"), F.lag("_top").over(every).alias("_last"))
+    w = Window.partitionBy("_b").orderBy(p, test)
+    own = own.join(edges, F.col("_b") == F.col("_c")).withColumn("_r", F.col("_before") + F.row_number().over(w))
     own = own.withColumn("_x", F.col(p) * (F.col("_m") - F.col("_r") + 1))
-    return own.withColumn("adjusted", F.greatest(F.col("_x"), F.coalesce(F.lag("_x").over(w.orderBy("_r")), F.col("_x")))).drop("_m", "_r", "_x")
+    crossed = F.col("_last") * (F.col("_m") - F.col("_before") + 1)
+    made = F.greatest(F.col("_x"), F.coalesce(F.lag("_x").over(w), crossed, F.col("_x")))
+    return own.select(*df.columns, made.alias("adjusted"))
 
 
 def mcnemar(df: DataFrame, a: str, b: str, part: list[str]) -> DataFrame:
@@ -82,23 +111,102 @@ def wilcoxon(df: DataFrame, diff: str) -> DataFrame:
 def permutation_p(df: DataFrame, case: str, y: str, value: str, permutations: int) -> DataFrame:
     """Difference of class means against labels permuted by hash order: (share of |permuted| >= |observed|).
 
-    Each permutation is a hash order of all cases cut at the number of positives; the cut comes from
-    an exact threshold of the order, so only sums are shuffled.
+    Each permutation is a hash order of all cases cut at the number of positives. Counts by cells of
+    the hash find the cut, and only the cell on the edge is sorted. One row; both values are null
+    without cases or with one class only.
     """
-    from .folds import hashed
-    from .order import running
+    from .folds import hashed_number
+    from .order import lowest
 
-    own = df.filter(F.col(value).isNotNull()).select(case, y, value)
+    own = df.filter(F.col(value).isNotNull() & F.col(y).isNotNull()).select(case, y, value)
     totals = own.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) > 0).alias("k"), F.sum(value).alias("s"), F.sum(F.when(F.col(y) > 0, F.col(value))).alias("sp")).first()
     n, k, s, sp = totals
+    if not k or k == n:
+        return df.sparkSession.createDataFrame([(None, None)], "observed double, p double")
     observed = sp / k - (s - sp) / (n - k)
-    drawn = own.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("_h", F.conv(F.substring(hashed(case, F.col("perm")), 1, 13), 16, 10).cast("long"))
-    drawn = drawn.groupBy("perm", "_h").agg(F.sum(value).alias("v"), F.count(F.lit(1)).alias("c"))
-    r = running(drawn, ["perm"], "_h", ["c"])
-    sums = r.filter(F.col("before_c") < k).groupBy("perm").agg(F.sum("v").alias("t"))
+    drawn = own.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("_h", hashed_number(case, F.col("perm")))
+    whole, edge = lowest(drawn, ["perm"], "_h", F.lit(k), case, value)
+    sums = whole.unionByName(edge).groupBy("perm").agg(F.sum("total").alias("t"))
     gap = F.col("t") / k - (s - F.col("t")) / (n - k)
     return sums.agg(F.lit(observed).alias("observed"), (F.count_if(F.abs(gap) >= abs(observed)) / F.count(F.lit(1))).alias("p"))
 
 
+def wilcoxon_exact(df: DataFrame, diff: str) -> DataFrame:
+    """w_plus, w_minus, n and the exact two-sided p of the signed-rank test, for up to EXACT non-zero differences (null beyond).
+
+    The null distribution counts the sign patterns of the ranks 1 to n by their sum.
+    """
+    w = wilcoxon(df, diff)
+
+    def ways(n: int) -> list[int]:
+        out = [1]
+        for k in range(1, n + 1):
+            out = [(out[i] if i < len(out) else 0) + (out[i - k] if 0 <= i - k < len(out) else 0) for i in range(len(out) + k)]
+        return out
+
+    p = F.lit(None).cast("double")
+    for n in range(1, EXACT + 1):
+        table = [sum(ways(n)[: i + 1]) / 2**n for i in range(n * (n + 1) // 2 + 1)]
+        at = F.floor(F.least("w_plus", "w_minus")).cast("int")
+        p = F.when(F.col("n") == n, F.least(F.lit(1.0), 2 * F.get(F.array(*[F.lit(x) for x in table]), at))).otherwise(p)
+    return w.select("w_plus", "w_minus", "n", p.alias("p"))
+
+
+#: Differences up to which the signed-rank test is exact.
+EXACT = 15
+
+
+def liddell(df: DataFrame, a: str, b: str, part: list[str]) -> DataFrame:
+    """Exact test of paired proportions: F, two-sided p and the ratio of the discordant counts, by part.
+
+    With r the greater and s the lesser count, F = r / (s + 1), and p is twice the binomial chance of r
+    or more out of r + s, 1 at most.
+    """
+    g = mcnemar(df, a, b, part)
+    r, s = F.greatest("only_a", "only_b"), F.least("only_a", "only_b")
+    n = (r + s).cast("int")
+    # terms from r to n of the binomial: log-gamma by a running sum of logarithms
+    logs = F.aggregate(F.sequence(F.lit(0), n), F.array(F.lit(0.0)), lambda t, i: F.when(i == 0, t).otherwise(F.concat(t, F.array(F.element_at(t, -1) + F.log(i.cast("double"))))))
+    own = g.withColumn("_l", logs).withColumn("_n", n).withColumn("_r", r.cast("int"))
+    tail = F.aggregate(F.sequence(F.col("_r"), F.col("_n")), F.lit(0.0), lambda t, i: t + F.exp(F.get("_l", F.col("_n")) - F.get("_l", i) - F.get("_l", F.col("_n") - i) - F.col("_n") * F.log(F.lit(2.0))))
+    return own.select(*part, "only_a", "only_b", (r / (s + 1)).alias("f"), F.least(F.lit(1.0), 2 * tail).alias("p"), F.when(F.col("only_b") > 0, F.col("only_a") / F.col("only_b")).alias("ratio"))
+
+
+def compare_classifiers(df: DataFrame, case: str, classifier: str, correct: str) -> DataFrame:
+    """Every pair of classifiers (a < b) over the cases both have judged: McNemar's chi square and p."""
+    left = df.select(F.col(case).alias("_c"), F.col(classifier).alias("a"), F.col(correct).alias("ra"))
+    right = df.select(F.col(case).alias("_d"), F.col(classifier).alias("b"), F.col(correct).alias("rb"))
+    pairs = left.join(right, F.col("_c") == F.col("_d")).filter("a < b")  # classifiers squared a case
+    return mcnemar(pairs, "ra", "rb", ["a", "b"])
+
+
+def consistency_p(df: DataFrame, feature: str, weight: str, two_sided: bool = False) -> DataFrame:
+    """Sign consistency of each feature's weights over models, its z over the features, p and adjusted p.
+
+    consistency: |share of positive less negative signs| x share of present weights (two-sided: signed mean x
+    share of present weights); z = consistency / spread of it over features; p one- or two-sided.
+    """
+    own = df.groupBy(feature).agg(F.avg(F.signum(weight)).alias("_s"), F.avg(weight).alias("_m"), (F.count(weight) / F.count(F.lit(1))).alias("_n"))
+    own = own.select(feature, ((F.col("_m") if two_sided else F.abs("_s")) * F.col("_n")).alias("consistency"))
+    spread = own.agg(F.stddev_samp("consistency").alias("_sd"))
+    own = own.crossJoin(F.broadcast(spread)).withColumn("z", F.col("consistency") / F.col("_sd"))  # one row
+    p = two_sided_normal_p(F.col("z")) if two_sided else F.when(F.col("z") >= 0, two_sided_normal_p(F.col("z")) / 2).otherwise(1 - two_sided_normal_p(F.col("z")) / 2)
+    return fdr(own.withColumn("p", p).select(feature, "consistency", "z", "p"), feature)
+
+
+def kappa_test(df: DataFrame, part: list[str], tp: str = "tp", tn: str = "tn", fp: str = "fp", fn: str = "fn") -> DataFrame:
+    """Cohen's kappa of a 2 x 2 table, its standard error under independence, z and two-sided p."""
+    tp_, tn_, fp_, fn_ = (F.col(c).cast("double") for c in (tp, tn, fp, fn))
+    n = tp_ + tn_ + fp_ + fn_
+    po = (tp_ + tn_) / n
+    r1, c1 = (tp_ + fp_) / n, (tp_ + fn_) / n
+    pe = r1 * c1 + (1 - r1) * (1 - c1)
+    both = r1 * c1 * (r1 + c1) + (1 - r1) * (1 - c1) * (2 - r1 - c1)
+    se = F.sqrt((pe + pe * pe - both) / (n * (1 - pe) * (1 - pe)))
+    out = df.select(*part, ((po - pe) / (1 - pe)).alias("kappa"), se.alias("se"))
+    out = out.withColumn("z", F.col("kappa") / F.col("se"))
+    return out.withColumn("p", two_sided_normal_p(F.col("z")))
+
+
 def harmonic(m: int) -> float:
     return math.fsum(1 / k for k in range(1, m + 1))

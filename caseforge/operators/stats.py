@@ -17,7 +17,7 @@ def moments(df: DataFrame, part: list[str], value: str) -> DataFrame:
     first = df.groupBy(*part).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     keys = first.select(*[F.col(p).alias(f"_{p}") for p in part], F.col("mean").alias("_m"))
     on = [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in part]
-    d = df.join(F.broadcast(keys) if len(part) == 1 else keys, on)
+    d = df.join(keys, on)
     c = F.col(value) - F.col("_m")
     cubes = d.groupBy(*part).agg(F.sum(c * c * c).alias("s3"), F.sum(c * c * c * c).alias("s4"))
     j = first.join(cubes, part)

@@ -242,11 +242,12 @@ def _(spark, sf):
     return i.select(*[(R(c) + 0.0).alias(c) for c in i.columns])
 
 
-@query("agg_inverse_percentile", f"""WITH {CASES_SQL}, tr AS (SELECT feat, value FROM long WHERE case_id % 2 = 0 AND value IS NOT NULL AND feat IN ('x1', 'x2')), ts AS (SELECT case_id, feat, value FROM long WHERE case_id % 50 = 1 AND value IS NOT NULL AND feat IN ('x1', 'x2'))
-  SELECT case_id, ts.feat, round((count(*) FILTER (tr.value < ts.value) + 0.5::DOUBLE * count(*) FILTER (tr.value = ts.value)) * 100 / count(*), 6) AS percent FROM ts JOIN tr ON ts.feat = tr.feat GROUP BY case_id, ts.feat""")
+@query("agg_inverse_percentile", f"""WITH {CASES_SQL}, u AS (SELECT feat, value, count(*) FILTER (case_id % 2 = 0) AS n FROM long WHERE value IS NOT NULL AND feat IN ('x1', 'x2') GROUP BY feat, value),
+  r AS (SELECT feat, value, (sum(n) OVER (PARTITION BY feat ORDER BY value) - 0.5::DOUBLE * n) * 100 / sum(n) OVER (PARTITION BY feat) AS percent FROM u)
+  SELECT case_id, feat, round(percent, 6) AS percent FROM long JOIN r USING (feat, value) WHERE case_id % 2 = 1""")
 def _(spark, sf):
     long = cases_long(spark, sf).filter("value is not null and feat in ('x1', 'x2')").select("case_id", "feat", "value")
-    r = stats.inverse_percentile(long.filter("case_id % 2 = 0").select("feat", "value"), long.filter("case_id % 50 = 1"), ["feat"], "value")
+    r = stats.inverse_percentile(long.filter("case_id % 2 = 0").select("feat", "value"), long.filter("case_id % 2 = 1"), ["feat"], "value")
     return r.select("case_id", "feat", R("percent").alias("percent"))
 
 

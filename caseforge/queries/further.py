@@ -43,10 +43,11 @@ def _(spark, sf):
     return more_prep.zero_out(long)
 
 
-@query("prep_rank_transform", f"""WITH {CASES_SQL}, t AS (SELECT value FROM long WHERE feat = 'x3' AND case_id % 2 = 0) SELECT case_id, feat, round((count(*) FILTER (t.value < l.value) + 0.5::DOUBLE * count(*) FILTER (t.value = l.value)) / count(*), 6) AS value FROM (SELECT * FROM long WHERE feat = 'x3' AND case_id % 40 = 1) l, t GROUP BY case_id, feat""")
+@query("prep_rank_transform", f"""WITH {CASES_SQL}, u AS (SELECT value, count(*) FILTER (case_id % 2 = 0) AS n FROM long WHERE feat = 'x3' GROUP BY value),
+  r AS (SELECT value, (sum(n) OVER (ORDER BY value) - 0.5::DOUBLE * n) / sum(n) OVER () AS v FROM u) SELECT case_id, feat, round(v, 6) AS value FROM long JOIN r USING (value) WHERE feat = 'x3' AND case_id % 2 = 1""")
 def _(spark, sf):
     long = cases_long(spark, sf).filter("feat = 'x3'").select("case_id", "feat", "value")
-    r = more_prep.rank_transform(long.filter("case_id % 2 = 0"), long.filter("case_id % 40 = 1"), ["feat"])
+    r = more_prep.rank_transform(long.filter("case_id % 2 = 0"), long.filter("case_id % 2 = 1"), ["feat"])
     return r.select("case_id", "feat", R("value").alias("value"))
 
 
@@ -55,9 +56,9 @@ def _(spark, sf):
     return more_prep.first_seen_codes(table(spark, sf, "part"), "p_partkey", "p_brand")
 
 
-@query("shape_padded", "SELECT user_id, a[1] AS v1, a[2] AS v2, a[3] AS v3 FROM (SELECT user_id, list(value ORDER BY event_id) AS a FROM events WHERE event_id < 100 GROUP BY user_id)")
+@query("shape_padded", "SELECT user_id, a[1] AS v1, a[2] AS v2, a[3] AS v3 FROM (SELECT user_id, list(value ORDER BY event_id) AS a FROM events GROUP BY user_id)")
 def _(spark, sf):
-    e = table(spark, sf, "events").filter("event_id < 100").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"]).alias("a"))
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"]).alias("a"))
     return e.select("user_id", *[F.get(more_prep.padded(F.col("a"), 3), F.lit(i)).alias(f"v{i + 1}") for i in range(3)])
 
 
@@ -86,7 +87,7 @@ def _(spark, sf):
 
 @query("prep_symbol_bins", f"""WITH {CASES_SQL}, p AS (SELECT feat, avg(value) AS centre, stddev_samp(value) AS sd FROM long WHERE feat IN ('x1', 'x3') GROUP BY feat),
   s AS (SELECT case_id, feat, b, greatest(0, least(b - 1, CAST(floor((value - (centre - 2 * sd)) / (4 * sd) * b) AS BIGINT))) AS s FROM long JOIN p USING (feat), (SELECT unnest(range(2, 7)) AS b) WHERE value IS NOT NULL),
-  w AS (SELECT feat, b, s || '-' || lead(s) OVER (PARTITION BY feat, b, case_id // 4096 ORDER BY case_id) AS w FROM s), c AS (SELECT feat, b, w, count(*)::DOUBLE AS n FROM w WHERE w IS NOT NULL GROUP BY ALL),
+  w AS (SELECT feat, b, s || '-' || lead(s) OVER (PARTITION BY feat, b ORDER BY case_id) AS w FROM s), c AS (SELECT feat, b, w, count(*)::DOUBLE AS n FROM w WHERE w IS NOT NULL GROUP BY ALL),
   e AS (SELECT feat, b, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM c GROUP BY ALL) SELECT feat, CAST(min(b) AS INT) AS bins FROM (SELECT *, max(e) OVER (PARTITION BY feat) AS t FROM e) WHERE e >= 0.99 * t GROUP BY feat""")
 def _(spark, sf):
     long = cases_long(spark, sf).filter("feat in ('x1', 'x3')").select("case_id", "feat", "value")
@@ -152,7 +153,7 @@ def _(spark, sf):
 
 @query("simulate_neighbours")
 def _(spark, sf):
-    return interpret.interpolated(table(spark, sf, "embeddings").filter("vec_id < 200"), "vec_id", "embedding", 5)
+    return interpret.interpolated(table(spark, sf, "embeddings"), "vec_id", "embedding", 5)
 
 
 @query("graph_degree", "WITH e AS (SELECT o_custkey % 40 AS a, o_orderkey % 40 AS b, count(*)::DOUBLE AS w FROM orders WHERE o_custkey % 40 <> o_orderkey % 40 GROUP BY ALL), u AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e) SELECT a AS node, count(DISTINCT b) AS degree, sum(w) AS strength FROM u GROUP BY a")

@@ -78,12 +78,22 @@ def _(spark, sf):
     return OUT(prep.standardise(long, prep.fit_standard(train, ["feat"], median=True), ["feat"]))
 
 
-@query("prep_winsorise", f"WITH {CASES_SQL}, p AS (SELECT feat, avg(value) AS centre, {_SD} AS sd FROM long GROUP BY feat), z AS (SELECT case_id, feat, CASE WHEN value IS NULL THEN NULL ELSE greatest(-1.5::DOUBLE, least(1.5::DOUBLE, {_Z})) END AS z FROM long JOIN p USING (feat)) SELECT case_id, feat, round(z - avg(z) OVER (PARTITION BY feat), 6) + 0 AS value FROM z")
+def _winsorised(centre: str, shift: str) -> str:
+    return f"""WITH {CASES_SQL}, p AS (SELECT feat, {centre} AS centre, {_SD} AS sd FROM long WHERE case_id % 2 = 0 GROUP BY feat),
+  z AS (SELECT case_id, feat, CASE WHEN value IS NULL THEN NULL ELSE greatest(-1.5::DOUBLE, least(1.5::DOUBLE, {_Z})) END AS z FROM long JOIN p USING (feat)),
+  m AS (SELECT feat, {shift} AS shift FROM z WHERE case_id % 2 = 0 GROUP BY feat) SELECT case_id, feat, round(z - shift, 4) + 0 AS value FROM z JOIN m USING (feat)"""
+
+
+@query("prep_winsorise", _winsorised("avg(value)", "avg(z)"))
 def _(spark, sf):
-    _, long = _fit(spark, sf)
-    z = prep.winsorise(long.filter("value is not null"), prep.fit_standard(long, ["feat"]), ["feat"], 1.5)
-    gaps = long.filter("value is null")
-    return OUT(z.unionByName(gaps))
+    train, long = _fit(spark, sf)
+    return OUT(prep.winsorise(long, prep.fit_winsorise(train, ["feat"], 1.5), ["feat"], 1.5), 4)
+
+
+@query("prep_winsorise_median", _winsorised("median(value)", "median(z)"))
+def _(spark, sf):
+    train, long = _fit(spark, sf)
+    return OUT(prep.winsorise(long, prep.fit_winsorise(train, ["feat"], 1.5, median=True), ["feat"], 1.5), 4)
 
 
 @query("prep_centre", _sql("SELECT feat, avg(value) AS centre FROM tr GROUP BY feat", "value - centre"))

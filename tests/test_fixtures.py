@@ -50,7 +50,7 @@ def test_standardise_and_winsorise(f2):
     assert col(prep.standardise(x, p, ["feat"]), "value", "case_id") == pytest.approx([-0.785698947, -0.505092180, -0.224485413, 1.739761953, -0.224485413], abs=1e-9)
     m = prep.standardise(x, prep.fit_standard(x, ["feat"], median=True), ["feat"])
     assert col(m, "value", "case_id") == pytest.approx([-0.561213533, -0.280606767, 0, 1.964247366, 0], abs=1e-9)
-    w = prep.winsorise(x, p, ["feat"], 1.0)
+    w = prep.winsorise(x, prep.fit_winsorise(x, ["feat"], 1.0), ["feat"], 1.0)
     assert col(w, "value", "case_id") == pytest.approx([-0.637746556, -0.357139789, -0.076533022, 1.147952391, -0.076533022], abs=1e-8)
 
 
