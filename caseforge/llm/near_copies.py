@@ -10,7 +10,7 @@
    them with chance MISS (`plan`); pairs above 0.8 are missed far more seldom.
 3. Sets that the tries link are gathered into clusters, the components over those links.
 4. Links of a cluster are confirmed exactly by comparing its sets with pivots: all of them in a small
-   cluster, PIVOTS at a time in a large one, whose members are spread over tasks. Sets outside the
+   cluster, a few and then PIVOTS at a time in a large one, whose members are spread over tasks. Sets outside the
    cluster's largest component become pivots until none is left that hasn't been one, so no link
    between components can be missed, and a large group of copies takes few passes, not all its pairs.
 """
@@ -37,8 +37,9 @@ BITS, PARTS, MISS = 10, 3, 3e-4
 MANY, BITS_OF_MANY = 4_000_000, 8
 #: Rows that a top node of a trie should hold.
 NODE_ROWS = 8000
-#: Pivots of a cluster in a round, the hashes that they may hold together, members of a cluster in a task.
-PIVOTS, PIVOT_HASHES, SPREAD = 128, 4_000_000, 512
+#: Members up to which all of a cluster are pivots at once; pivots of a larger one in its first round, which joins
+#: most of a group of copies, and in later ones; the hashes that they may hold together; members of a cluster in a task.
+SMALL, FIRST, PIVOTS, PIVOT_HASHES, SPREAD = 256, 16, 4096, 4_000_000, 512
 #: Bytes of a written table up to which it is broadcast.
 BROADCAST_BYTES = 16 << 20
 ROUNDS = 10_000
@@ -153,27 +154,27 @@ def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
 
 
-def _pivots(open_: DataFrame) -> DataFrame:
-    """Up to PIVOTS nodes of each cluster by hash, PIVOT_HASHES at most together (one always): pivot."""
-    order = F.xxhash64("node")
-    first = Window.partitionBy("cluster", F.pmod(order, F.lit(64))).orderBy(order)
-    some = open_.select("cluster", "node", "size").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= PIVOTS)
-    whole = Window.partitionBy("cluster").orderBy(F.xxhash64("node"))  # 64 x PIVOTS rows of a cluster at most
+def _pivots(open_: DataFrame, first: bool) -> DataFrame:
+    """pivot: nodes of each cluster by hash, as many as SMALL, FIRST or PIVOTS allow, PIVOT_HASHES at most together (one always)."""
+    order, most = F.xxhash64("node"), F.when(F.col("m") <= SMALL, SMALL).otherwise(FIRST if first else PIVOTS)
+    inside = Window.partitionBy("cluster", F.pmod(order, F.lit(16))).orderBy(order)
+    some = open_.select("cluster", "node", "size", most.alias("most")).withColumn("r", F.row_number().over(inside)).filter("r <= most")
+    whole = Window.partitionBy("cluster").orderBy(F.xxhash64("node"))  # 16 x PIVOTS rows of a cluster at most
     some = some.withColumn("r", F.row_number().over(whole)).withColumn("held", F.sum("size").over(whole))
-    return some.filter((F.col("r") <= PIVOTS) & ((F.col("r") == 1) | (F.col("held") <= PIVOT_HASHES))).select(F.col("node").alias("pivot"))
+    return some.filter((F.col("r") <= F.col("most")) & ((F.col("r") == 1) | (F.col("held") <= PIVOT_HASHES))).select(F.col("node").alias("pivot"))
 
 
 def confirmed(members: DataFrame) -> DataFrame:
     """(node, comp): exact components at the similarity inside each cluster. members: cluster, node, size, text; a row a node."""
     state, _ = written(members.select("cluster", "node", "size", F.col("node").alias("comp"), F.lit(False).alias("asked")), "cluster-state")
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
         sizes = state.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
         most = sizes.groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m"))
-        most = most.select(F.col("cluster").alias("of"), F.col("top.comp").alias("largest"), F.ceil(F.col("m") / SPREAD).cast("int").alias("salts"))
+        most = most.select(F.col("cluster").alias("of"), F.col("top.comp").alias("largest"), "m", F.ceil(F.col("m") / SPREAD).cast("int").alias("salts"))
         placed = state.join(most, F.col("cluster") == F.col("of"))
         # a component of one node may be the largest; it is then compared by the others as pivots
         open_ = placed.filter(~F.col("asked") & (F.col("comp") != F.col("largest")))
-        pivots, _ = written(_pivots(open_), "pivots")
+        pivots, _ = written(_pivots(open_, k == 0), "pivots")
         if pivots.isEmpty():
             return state.select("node", "comp")
         now = placed.join(pivots, F.col("node") == F.col("pivot"), "left").withColumn("is_pivot", F.col("pivot").isNotNull())
