@@ -434,6 +434,8 @@ def test_near_copies_in_large_clusters(spark, monkeypatch):
             words[rng.randrange(150)] = f"x{rng.randrange(9999)}"
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "SMALL", 3)
+    monkeypatch.setattr(near_copies, "FIRST", 2)
     monkeypatch.setattr(near_copies, "PIVOTS", 12)
     monkeypatch.setattr(near_copies, "SPREAD", 15)
     groups: dict[int, set] = {}
