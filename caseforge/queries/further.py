@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import interpret, more_prep, prep, select, tuning
-from ..sources.tables import CASES_SQL, SCORES_SQL, cases, cases_long, scores, table
+from ..sources.tables import CASES_SQL, SCORES_SQL, array_to_long, cases, cases_long, scores, table
 
 QUERIES = {}
 ORACLES = {}
@@ -177,7 +177,8 @@ def _(spark, sf):
 # ---- step by step selection
 def _feast(criterion: str):
     def run(spark, sf):
-        d = cases_long(spark, sf).filter("value is not null and feat in ('x1', 'x2', 'x3')").select("case_id", "cls", "feat", F.floor("value").cast("double").alias("value"))
+        e = array_to_long(table(spark, sf, "embeddings").withColumn("embedding", F.slice("embedding", 1, 8)), "vec_id", "embedding", ("label",))
+        d = e.select(F.col("vec_id").alias("case_id"), F.col("label").alias("cls"), F.concat(F.lit("e"), "feat").alias("feat"), F.floor(F.col("value") * 8).cast("double").alias("value"))
         relevance, pairs = select.information_tables(d, "case_id", "cls")
         return spark.createDataFrame(list(enumerate(select.by_information(relevance, pairs, 3, criterion), 1)), "place int, feat string")
 

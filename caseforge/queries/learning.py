@@ -51,10 +51,32 @@ def _flow_sql(made: str) -> str:
     round((sum(r) FILTER (y > 0) - count(*) FILTER (y > 0) * (count(*) FILTER (y > 0) + 1) / 2.0::DOUBLE) / (count(*) FILTER (y > 0) * count(*) FILTER (y < 0)), 5) AS auc FROM k GROUP BY fold"""
 
 
-query("flow_nested_nearest_mean", _flow_sql("round((value - centre) / sd, 9)"))(_flow(["standardise"]))
+query("flow_nearest_mean", _flow_sql("round((value - centre) / sd, 9)"))(_flow(["standardise"]))
 query("flow_scaled_nearest_mean", _flow_sql("(value - lo) / (hi - lo) - 0"))(_flow(["scale"]))
 
 
+_MD5 = "md5(case_id::VARCHAR || ':1'), case_id"
+_NESTED_SQL = f"""WITH e AS (SELECT vec_id AS case_id, embedding, CASE WHEN label < 5 THEN 1 ELSE -1 END AS y FROM embeddings),
+  o AS (SELECT case_id, y, (row_number() OVER (PARTITION BY y ORDER BY {_MD5}) - 1) % 5 + 1 AS own FROM e), s AS (SELECT case_id, y, own, f FROM o, (SELECT unnest(range(1, 6)) AS f)),
+  t AS (SELECT case_id, y, f AS f2, (row_number() OVER (PARTITION BY y, f ORDER BY {_MD5}) - 1) % 3 + 1 AS f1 FROM s WHERE own <> f),
+  l AS (SELECT case_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM e),
+  m AS (SELECT f2, g.f1, i, avg(v) AS c, stddev_samp(v) AS sd, avg(v) FILTER (y > 0) - avg(v) FILTER (y < 0) AS d FROM t JOIN l USING (case_id), (SELECT unnest(range(1, 4)) AS f1) g WHERE t.f1 <> g.f1 GROUP BY f2, g.f1, i),
+  r AS (SELECT *, d / sd AS w, row_number() OVER (PARTITION BY f2, f1 ORDER BY abs(d / sd) DESC, i) AS r FROM m), k AS (SELECT unnest([4, 16, 64]) AS k),
+  n AS (SELECT t.f2, t.f1, k, case_id, y, sum((v - c) / sd * w) AS s FROM t JOIN l USING (case_id) JOIN r ON r.f2 = t.f2 AND r.f1 = t.f1 AND r.i = l.i JOIN k ON r.r <= k.k GROUP BY ALL),
+  b AS (SELECT f2, f1, k, (avg(CAST(s > 0 AS INT)) FILTER (y > 0) + avg(CAST(s <= 0 AS INT)) FILTER (y < 0)) * 50 AS bac FROM n GROUP BY ALL),
+  p AS (SELECT f2, k, a FROM (SELECT f2, k, round(avg(bac), 6) AS a FROM b GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY f2 ORDER BY a DESC, k) = 1),
+  z AS (SELECT s.f AS f2, case_id, y, sum((v - c) / sd * w) AS sc FROM s JOIN p ON p.f2 = s.f JOIN l USING (case_id) JOIN r ON r.f2 = s.f AND r.i = l.i AND r.r <= p.k WHERE s.own = s.f GROUP BY ALL)
+  SELECT CAST(f2 AS INT) AS fold, CAST(k AS INT) AS k, round(a, 4) AS inner_bac, count(*) AS n, round((avg(CAST(sc > 0 AS INT)) FILTER (y > 0) + avg(CAST(sc <= 0 AS INT)) FILTER (y < 0)) * 50, 4) AS bac FROM z JOIN p USING (f2) GROUP BY f2, k, a"""
+
+
+@query("flow_nested", _NESTED_SQL)
+def _(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("case_id"), "embedding", F.when(F.col("label") < 5, 1).otherwise(-1).alias("y"))
+    own = folds.nested(e.select("case_id", "y"), "case_id", ["y"], 5, 3)
+    r = flow.nested_nearest_mean(e, own, "case_id", "y", "embedding", [4, 16, 64], 3)
+    return r.select("fold", "k", R("inner_bac", 4).alias("inner_bac"), "n", R("bac", 4).alias("bac"))
+
+
 def _data(spark, sf, cls):
     e = table(spark, sf, "embeddings").withColumn("cls", cls)
     v = learn.vectors(e, "embedding", "cls").select("vec_id", "features", "label", "embedding")

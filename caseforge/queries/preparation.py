@@ -302,7 +302,8 @@ def _(spark, sf):
 
 @query("rank_mrmr")
 def _(spark, sf):
-    d = _long(spark, sf, "cls").filter("value is not null and feat in ('x1', 'x2', 'x3')").withColumn("value", F.floor("value").cast("double"))
+    e = array_to_long(table(spark, sf, "embeddings").withColumn("embedding", F.slice("embedding", 1, 8)), "vec_id", "embedding", ("label",))
+    d = e.select(F.col("vec_id").alias("case_id"), F.col("label").alias("cls"), F.concat(F.lit("e"), "feat").alias("feat"), F.floor(F.col("value") * 8).cast("double").alias("value"))
     relevance = {r["feat"]: r["weight"] for r in rank.mutual_information(d, "cls").collect()}
     redundancy = {(r["a"], r["b"]): r["mi"] for r in rank.pair_information(d, "case_id").collect()}
     return spark.createDataFrame([(i + 1, f) for i, f in enumerate(rank.mrmr(relevance, redundancy, 3))], "place int, feat string")
