@@ -28,6 +28,29 @@ def t_of_r(r: Column, n: int) -> Column:
     return r * math.sqrt(n - 2) / F.sqrt(1 - r * r)
 
 
+def two_sided_t_p(t: Column, n: int) -> Column:
+    """Two-sided p of Student's t with n degrees of freedom, by the finite sums for whole n (terms grow with n; 10,000 at most)."""
+    if not 1 <= n <= 10_000:
+        raise ValueError("degrees of freedom must be 1 to 10,000")
+    angle = F.atan(F.abs(t) / math.sqrt(n))
+    c2 = 1 / (1 + t * t / n)  # squared cosine of the angle
+    odd = n % 2
+    steps = F.sequence(F.lit(1), F.lit(max(1, (n - 1) // 2 if odd else n // 2 - 1)))
+    many = (n - 3) // 2 if odd else n // 2 - 1
+
+    def term(state: Column, k: Column) -> Column:
+        factor = (2.0 * k / (2.0 * k + 1)) if odd else ((2.0 * k - 1) / (2.0 * k))
+        value = state["term"] * factor * c2
+        return F.struct(value.alias("term"), (state["sum"] + value).alias("sum"))
+
+    first = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    total = F.aggregate(steps, first, term)["sum"] if many >= 1 else F.lit(1.0)
+    if many >= 1 and odd:
+        total = F.aggregate(F.sequence(F.lit(1), F.lit(many)), first, term)["sum"]
+    inside = (2 / math.pi) * (angle + (F.sin(angle) * F.cos(angle) * total if n > 1 else 0)) if odd else F.sin(angle) * total
+    return F.greatest(F.lit(0.0), 1 - inside)
+
+
 def erfc(x: Column) -> Column:
     """Complementary error function for x >= 0, by Chebyshev fit; relative error under 1.2e-7."""
     t = 1 / (1 + 0.5 * x)

@@ -65,3 +65,32 @@ def binned_probability(p: Column, models: list[tuple[float, list[float], list[fl
             value = F.when(p > F.lit(e), F.lit(q)).otherwise(value)
         out = out + w * value
     return out / sum(w for w, _, _ in models if w >= 1e-9)
+
+
+def fit_sigmoid(train: DataFrame, y01: str, score: str, rounds: int = 50) -> tuple[float, float]:
+    """a, b of the probability 1 / (1 + exp(a score + b)), fitted to smoothed targets by Newton's steps, one pass each.
+
+    Targets are (n+ + 1) / (n+ + 2) for positives and 1 / (n- + 2) for negatives.
+    """
+    own = train.filter(F.col(score).isNotNull() & F.col(y01).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(y01).alias("y"))
+    pos, n = own.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
+    high, low = (pos + 1) / (pos + 2), 1 / (n - pos + 2)
+    own = own.withColumn("t", F.when(F.col("y") == 1, F.lit(float(high))).otherwise(F.lit(float(low))))
+    a, b = 0.0, math.log((n - pos + 1) / (pos + 1))
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(F.lit(a) * F.col("s") + F.lit(b)))
+        w, d = p * (1 - p), F.col("t") - p
+        r = own.agg(F.sum(d * F.col("s")).alias("ga"), F.sum(d).alias("gb"), F.sum(w * F.col("s") * F.col("s")).alias("aa"), F.sum(w * F.col("s")).alias("ab"), F.sum(w).alias("bb")).first()
+        if r["bb"] is None:
+            break
+        aa, bb = r["aa"] + 1e-12, r["bb"] + 1e-12
+        det = aa * bb - r["ab"] * r["ab"]
+        da, db = (bb * r["ga"] - r["ab"] * r["gb"]) / det, (aa * r["gb"] - r["ab"] * r["ga"]) / det
+        a, b = a - da, b - db
+        if abs(da) + abs(db) < 1e-10:
+            break
+    return a, b
+
+
+def sigmoid(score: Column, a: float, b: float) -> Column:
+    return 1 / (1 + F.exp(F.lit(a) * score + F.lit(b)))

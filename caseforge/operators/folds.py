@@ -87,3 +87,20 @@ def undersampled(df: DataFrame, case: str, label: str, ratio: float) -> DataFram
     rest = df.filter(F.col(label) < 0).withColumn("_h", hashed_number(case, F.lit("42"))).withColumn("_all", F.lit(1))
     whole, edge = lowest(rest, ["_all"], "_h", F.lit(int(ratio * n)), case)
     return df.filter(F.col(label) > 0).unionByName(whole.unionByName(edge).drop("_h", "_all"))
+
+
+def leave_site_out(df: DataFrame, case: str, site: str, share: float, perms: int) -> DataFrame:
+    """(site_out, perm, case, role): each site held out in turn; of the other sites' cases a share, drawn by hash, trains.
+
+    A case's draw depends on its id and the permutation alone, so a site's size doesn't matter.
+    """
+    sites = df.select(F.col(site).alias("site_out")).filter(F.col(site).isNotNull()).distinct()
+    drawn = df.select(case, site).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
+    taken = hashed_number(case, F.col("perm")) < F.lit(int(share * (1 << 52)))
+    drawn = drawn.withColumn("_in", taken)
+    # a row for each case and site: what a leave-one-site-out table is
+    pairs = drawn.join(F.broadcast(sites), F.lit(True)) if sites.count() <= CLASSES else None
+    if pairs is None:
+        raise ValueError(f"over {CLASSES} sites")
+    own = F.col(site).eqNullSafe(F.col("site_out"))
+    return pairs.filter(own | F.col("_in")).select("site_out", "perm", case, F.when(own, "test").otherwise("train").alias("role"))

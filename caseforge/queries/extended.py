@@ -532,3 +532,30 @@ def _(spark, sf):
 def _(spark, sf):
     e = _vectors(spark, sf).withColumn("f", F.slice("f", 1, 10))
     return spark.createDataFrame([(reduce.bhattacharyya(e, "f", "y"),)], "distance double")
+
+
+@query("fold_leave_site_out", f"WITH {CASES_SQL}, s AS (SELECT DISTINCT site AS site_out FROM cases) SELECT site_out, CAST(perm AS INT) AS perm, case_id, CASE WHEN site = site_out THEN 'test' ELSE 'train' END AS role FROM cases, s, (SELECT unnest([1, 2]) AS perm) WHERE site = site_out OR CAST('0x' || substr(md5(case_id::VARCHAR || ':' || perm), 1, 13) AS BIGINT) < CAST(0.1::DOUBLE * 4503599627370496 AS BIGINT)")
+def _(spark, sf):
+    from ..operators import folds
+
+    return folds.leave_site_out(cases(spark, sf).select("case_id", "site"), "case_id", "site", 0.1, 2)
+
+
+@query("calibrate_sigmoid")
+def _(spark, sf):
+    s = scores(spark, sf).filter("learner = 1").withColumn("y01", ((F.col("y") + 1) / 2).cast("int"))
+    a, b = calibrate.fit_sigmoid(s.filter("case_id % 2 = 0"), "y01", "score")
+    return s.filter("case_id % 2 = 1").select("case_id", R(calibrate.sigmoid(F.col("score"), a, b)).alias("p"))
+
+
+@query("scalar_r_to_p")
+def _(spark, sf):
+    r = spark.range(1, 20).select((F.col("id") / 20).alias("r"))
+    return r.select("r", R(scalar.t_of_r(F.col("r"), 12)).alias("t"), R(scalar.two_sided_t_p(scalar.t_of_r(F.col("r"), 12), 10), 9).alias("p"))
+
+
+@query("grid_annealed", "SELECT 3 AS a, 1 AS b")
+def _(spark, sf):
+    nodes = [(a, b) for a in range(6) for b in range(4)]
+    best, _ = committee.annealed(nodes, lambda n: -((n[0] - 3) ** 2) - (n[1] - 1) ** 2, rounds=400)
+    return spark.createDataFrame([best], "a int, b int")

@@ -285,6 +285,30 @@ def test_quantile_bins(spark):
     assert calibrate.best_threshold(df.limit(0), "y", "p") == 0.0
 
 
+def test_sigmoid_calibration(spark):
+    rng = np.random.default_rng(11)
+    s = rng.normal(size=500)
+    y = (rng.random(500) < 1 / (1 + np.exp(-(2 * s - 0.5)))).astype(int)
+    a, b = calibrate.fit_sigmoid(spark.createDataFrame([(float(u), int(v)) for u, v in zip(s, y, strict=True)], "s double, y int"), "y", "s")
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (500 - y.sum() + 2))
+    p = 1 / (1 + np.exp(a * s + b))
+    assert abs((t - p).sum()) < 1e-6 and abs(((t - p) * s).sum()) < 1e-6
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 10, 31])
+def test_student_p(spark, n):
+    from caseforge.functions import scalar
+
+    x = np.linspace(0, 400, 4_000_001)
+    density = math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi) * (1 + x * x / n) ** (-(n + 1) / 2)
+    step = x[1] - x[0]
+    for t in (0.3, 1.7, -2.5):
+        got = spark.range(1).select(scalar.two_sided_t_p(F.lit(t), n).alias("p")).first()["p"]
+        k = int(round(abs(t) / step))
+        inside = 2 * step * (density[: k + 1].sum() - 0.5 * (density[0] + density[k]))
+        assert got == pytest.approx(1 - inside, abs=1e-6)
+
+
 # ---- synthetic data, graphs, shares
 def test_synthetic_rows(spark, cloud):
     x, y, df = cloud
