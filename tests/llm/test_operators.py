@@ -436,7 +436,7 @@ def test_near_copies_in_large_clusters(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(near_copies, "SMALL", 3)
     monkeypatch.setattr(near_copies, "FIRST", 2)
-    monkeypatch.setattr(near_copies, "PIVOTS", 12)
+    monkeypatch.setattr(near_copies, "PIVOTS", 30)
     monkeypatch.setattr(near_copies, "SPREAD", 15)
     groups: dict[int, set] = {}
     for r in near_copies.groups(df).collect():
