@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from caseforge.llm import language_id, line_dedup, media_copies, mixing, near_copies, quality_rules, queries, sentencepiece_codec, sharding, simhash, suffix_dedup, toxicity
+from caseforge.llm import components, language_id, line_dedup, media_copies, mixing, near_copies, quality_rules, queries, sentencepiece_codec, sharding, simhash, suffix_dedup, toxicity
 
 from ..conftest import SMALL, tidy
 
@@ -352,7 +352,9 @@ def test_simhash_equals_brute_force(spark, awkward):
         assert Counter(tuple(r) for r in simhash.near_duplicates(df).collect()) == want
 
 
-def test_trie_links_on_clusters(spark):
+@pytest.mark.parametrize("small", [0, 1 << 22])
+def test_trie_links_on_clusters(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL_BYTES", small)
     rng = random.Random(8)
     prints = [rng.getrandbits(64) for _ in range(150)]
     for p in list(prints[:40]):
