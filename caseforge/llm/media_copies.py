@@ -6,11 +6,10 @@
 2. Descriptors: 256 binary brightness tests around a corner of the smoothed picture, turned by the
    direction of the patch's intensity centroid, so that turned and re-lit copies give the same bits.
 3. Hamming tables: 64 bits from each of eight places of the descriptor on are the key of a table, so
-   descriptors of few differing bits share an entry of some table. An entry of up to ENTRY corners
-   gives all its pairs of images. A longer one is parted by more bits, up to all 256, until its parts
-   are that short; corners that share all bits with many others are paired with the first of them and,
-   dealt by salts, along a chain. Images that share entries at two places, with about the same
-   turn and scale between them, are compared: a copy needs VOTES such places.
+   descriptors of few differing bits share an entry of some table. All corners of an entry are compared
+   with one another, in tiles of bounded size, and those of MATCH_BITS differing bits at most meet.
+   Images that meet at two places, with about the same turn and scale between them, are compared: a
+   copy needs VOTES such places.
 4. Geometric consensus: the matched corners of a pair vote for one similarity transform (turn,
    scale, shift); a pair with enough agreeing votes is a copy.
 
@@ -26,7 +25,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import removed, table_bytes, written
@@ -37,10 +37,10 @@ BASE, SMALL = 512, 64
 STEP = 2 ** (1 / 4)
 #: Radius of a patch and of the square in which a corner is the greatest; differing bits of a match, votes of a copy.
 RADIUS, APART, MATCH_BITS, VOTES = 10, 4, 36, 6
-#: Tables, and the bytes of a key: at first, and for entries that are too long by the one before.
-TABLES, WIDTHS = 8, (8, 16, 32)
-#: Corners of an entry that are paired with one another; salts of the chain through longer ones.
-ENTRY, SALTS = 8, 64
+#: Tables, and the bytes of a key.
+TABLES, WIDTH = 8, 8
+#: Corners of an entry that meet in one group; longer ones are cut into chunks that meet two by two. Rows compared at once.
+ENTRY, HELD = 4096, 40_000
 #: Steps of turn and scale by which two shared entries may differ to be about the same.
 TURN_STEPS, SCALE_STEPS = 3, 2
 TURNS = 32
@@ -277,8 +277,8 @@ def _mixed(key: np.ndarray, more: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(32))
 
 
-def table_keys(features: DataFrame, depth: int = 0) -> DataFrame:
-    """(key, upper, mark): of each corner and table the key of WIDTHS[depth] bytes, the one before, and image, place, turn, scale in one number."""
+def table_keys(features: DataFrame, bits: bool = False) -> DataFrame:
+    """(key, mark): of each corner and table the key, and image, place, turn, scale in one number; with `bits` the whole descriptor too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -286,19 +286,18 @@ def table_keys(features: DataFrame, depth: int = 0) -> DataFrame:
             counts = np.array([len(c) // _CORNER.itemsize for c in pdf["corners"]], dtype=np.int64)
             own = corners["bits"]
             twice = np.concatenate([own, own], axis=1)
-            keys = []
-            for d in (depth - 1, depth):
-                key = np.tile(np.arange(1, TABLES + 1, dtype=np.uint64), (len(own), 1))
-                for k in range(TABLES):
-                    part = np.pad(twice[:, 4 * k : 4 * k + WIDTHS[max(d, 0)]], ((0, 0), (0, -WIDTHS[max(d, 0)] % 8)))
-                    for word in np.ascontiguousarray(part).view(np.uint64).T:
-                        key[:, k] = _mixed(key[:, k], word)
-                keys.append(key.ravel().view(np.int64))
+            key = np.tile(np.arange(1, TABLES + 1, dtype=np.uint64), (len(own), 1))
+            for k in range(TABLES):
+                key[:, k] = _mixed(key[:, k], np.ascontiguousarray(twice[:, 4 * k : 4 * k + WIDTH]).view(np.uint64)[:, 0])
             place = (corners["y"].astype(np.int64) // 8 * 4099 + corners["x"].astype(np.int64) // 8) & 0xFFFF
             mark = np.repeat(pdf["fid"].to_numpy(), counts) << _GEO | place << 11 | corners["turn"].astype(np.int64) << 6 | corners["level"]
-            yield pd.DataFrame({"key": keys[1], "upper": keys[0], "mark": np.repeat(mark, TABLES)})
+            out = pd.DataFrame({"key": key.ravel().view(np.int64), "mark": np.repeat(mark, TABLES)})
+            if bits:
+                words = np.repeat(np.ascontiguousarray(own).view(np.int64).reshape(-1, 4), TABLES, axis=0)
+                out = out.assign(**{f"w{k}": words[:, k] for k in range(4)})
+            yield out
 
-    return features.select("fid", "corners").mapInPandas(run, "key long, upper long, mark long")
+    return features.select("fid", "corners").mapInPandas(run, "key long, mark long" + (", w0 long, w1 long, w2 long, w3 long" if bits else ""))
 
 
 def _shared(a: str, b: str) -> list:
@@ -308,48 +307,70 @@ def _shared(a: str, b: str) -> list:
     return [F.shiftright(low, _GEO).alias("a"), F.shiftright(high, _GEO).alias("b"), bits(low, 11, 16).alias("place"), F.pmod(bits(high, 6, 5) - bits(low, 6, 5), F.lit(TURNS)).alias("turn"), (bits(high, 0, 6) - bits(low, 0, 6)).alias("level")]
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, z): marks of all pairs of an entry's corners of different images with MATCH_BITS differing bits at most; rows come in order of key and tile."""
+    names = ["key", "tile", "side", "mark", "w0", "w1", "w2", "w3"]
+    held = [np.zeros(0, dtype=np.int64)] * len(names)
+
+    def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, tile, side, mark = cols[:4]
+        words = np.stack(cols[4:]).view(np.uint64)
+        change = np.ones(len(key), dtype=bool)
+        change[1:] = (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])
+        group = np.cumsum(change)
+        at, lag = np.arange(len(key)), 1
+        while True:
+            at = at[at + lag < len(key)]
+            at = at[group[at + lag] == group[at]]
+            if not len(at):
+                return
+            z = at + lag
+            keep = (mark[at] >> _GEO != mark[z] >> _GEO) & ((side[at] != side[z]) | (side[at] == 2))
+            gap = np.bitwise_count(words[:, at[keep]] ^ words[:, z[keep]]).sum(axis=0, dtype=np.int64)
+            near = gap <= MATCH_BITS
+            yield pa.RecordBatch.from_arrays([pa.array(mark[at[keep][near]]), pa.array(mark[z[keep][near]])], names=["x", "z"])
+            lag += 1
+
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)]) for h, n in zip(held, names, strict=True)]
+        if len(held[0]) > HELD:
+            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            yield from pairs([h[:cut] for h in held])
+            held = [h[cut:] for h in held]
+    yield from pairs(held)
+
+
 def candidate_pairs(features: DataFrame) -> DataFrame:
-    """(a, b) with a < b: the images that share entries at two places with about the same turn and scale."""
-    found: list[DataFrame] = []
-    long_, long_path = None, ""
-    for depth in range(len(WIDTHS)):
-        own = table_keys(features, depth)
-        if long_ is not None:  # only the entries that were too long before
-            own = own.join(_small(long_, long_path), F.col("upper") == F.col("too_long"), "left_semi")
-        # dealt out before they are counted: nearly all keys differ, so counting them first would only fill memory and spill
-        own = own.select("key", "mark")
-        entries = own.repartition("key").groupBy("key").agg(F.min("mark").alias("first"), F.max("mark").alias("last"), F.count(F.lit(1)).alias("n"))
-        entries, path = written(entries.filter(F.shiftright("first", _GEO) < F.shiftright("last", _GEO)), "entries")
-        # two corners, nearly always: read off the count itself
-        found.append(written(entries.filter("n = 2").select(*_shared("first", "last")), "pairs")[0])
-        longer, longer_path = written(entries.filter("n > 2").select(F.col("key").alias("k"), "n", "first"), "longer")
-        more = own.join(_small(longer, longer_path), F.col("key") == F.col("k"))
-        more, more_path = written(more.select("key", "mark", "n", "first"), "members")
-        lists = more.filter(F.col("n") <= ENTRY).groupBy("key").agg(F.collect_list("mark").alias("l"))  # ENTRY corners at most
-        pairs = lists.select(F.explode("l").alias("x"), "l").select("x", F.explode("l").alias("z")).filter(F.shiftright("x", _GEO) < F.shiftright("z", _GEO))
-        found.append(written(pairs.select(*_shared("x", "z")), "pairs")[0])
-        rest = more.filter(F.col("n") > ENTRY)
-        long_, long_path = written(rest.select(F.col("key").alias("too_long")).distinct(), "long-entries")
-        last = long_.isEmpty()
-        if not last and depth == len(WIDTHS) - 1:
-            star = rest.filter(F.shiftright("mark", _GEO) != F.shiftright("first", _GEO)).select(*_shared("first", "mark"))
-            after = F.lead("mark").over(Window.partitionBy("key", F.pmod(F.xxhash64("mark"), F.lit(SALTS))).orderBy("mark"))
-            chain = rest.withColumn("next", after).filter(F.shiftright("mark", _GEO) < F.shiftright("next", _GEO)).select(*_shared("mark", "next"))
-            found.append(written(star.unionByName(chain), "pairs")[0])
-        for old in (path, longer_path, more_path):
-            removed(features.sparkSession, old)
-        if last:
-            break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    """(a, b) with a < b: the images that share entries at two places with about the same turn and scale.
+
+    All pairs of an entry's corners are compared, however long it is: corners that differ in more than
+    MATCH_BITS aren't matched by `agreeing` either, so none is lost by leaving those out.
+    """
+    # dealt out before they are counted: nearly all keys differ, so counting them first would only fill memory and spill
+    counted = table_keys(features).repartition("key").groupBy("key").agg(F.min("mark").alias("first"), F.max("mark").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = counted.filter(F.shiftright("first", _GEO) < F.shiftright("last", _GEO)).select(F.col("key").alias("k"), F.ceil(F.col("n") / ENTRY).cast("int").alias("chunks"))
+    entries, path = written(shared, "entries")
+    own = table_keys(features, bits=True).join(_small(entries, path), F.col("key") == F.col("k"))
+    # a long entry is cut into chunks, and each two of them meet in a tile of their own
+    chunk = F.pmod(F.xxhash64("mark"), "chunks").cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda t: F.struct((F.least(t, chunk).cast("long") * F.col("chunks") + F.greatest(t, chunk)).alias("tile"), F.when(t == chunk, 2).when(chunk < t, 0).otherwise(1).alias("side")))
+    words = ["w0", "w1", "w2", "w3"]
+    short = own.filter("chunks = 1").select("key", F.lit(0).cast("long").alias("tile"), F.lit(2).alias("side"), "mark", *words)
+    long_ = own.filter("chunks > 1").select("key", F.explode(tiles).alias("_t"), "mark", *words).select("key", "_t.tile", "_t.side", "mark", *words)
+    parts = short if entries.filter("chunks > 1").isEmpty() else short.unionByName(long_)
+    pairs = parts.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_met, "x long, z long")
+    out, pairs_path = written(pairs.select(*_shared("x", "z")).distinct(), "pairs")
+    removed(features.sparkSession, path)
     told = out.repartition("a", "b").groupBy("a", "b").agg(F.collect_set(F.struct("place", "turn", "level")).alias("l")).filter("size(l) > 1")  # corners x TABLES at most
 
     def agree(u, v):
         gap = F.pmod(u["turn"] - v["turn"], F.lit(TURNS))
         return (u["place"] < v["place"]) & (F.least(gap, F.lit(TURNS) - gap) <= TURN_STEPS) & (F.abs(u["level"] - v["level"]) <= SCALE_STEPS)
 
-    return written(told.filter(F.exists("l", lambda u: F.exists("l", lambda v: agree(u, v)))).select("a", "b"), "candidates")[0]
+    found = written(told.filter(F.exists("l", lambda u: F.exists("l", lambda v: agree(u, v)))).select("a", "b"), "candidates")[0]
+    removed(features.sparkSession, pairs_path)
+    return found
 
 
 def agreeing(a: bytes, b: bytes) -> int:

@@ -245,6 +245,14 @@ def test_media_pairs_of_long_entries(spark, monkeypatch):
     assert {r["class_id"] for r in out} == {0} and all(r["n_links"] > 0 for r in out)
 
 
+def test_media_pairs_of_long_entries_are_all_found(spark):
+    """Twelve pictures that differ by brightness share entries of twelve corners: each is a copy of all others."""
+    picture = media_copies.draw((np.random.default_rng(4).normal(size=64) / 8).tolist())
+    rows = [(i, media_copies.encode_pgm(np.clip(np.round(picture + i), 0, 255))) for i in range(12)]
+    out = media_copies.copies(spark.createDataFrame(rows, "media_id long, media binary")).collect()
+    assert {(r["class_id"], r["n_links"]) for r in out} == {(0, 11)}
+
+
 def test_media_of_any_size():
     assert media_copies.corners_of(np.zeros((1, 5, 5), dtype=np.float32))[0].size == 0
     large = np.kron(media_copies.draw(list(np.linspace(-0.2, 0.2, 64))), np.ones((16, 16)))[None].astype(np.float32)
