@@ -11,6 +11,7 @@ from caseforge.operators import kernels
 MACHINES = [
     ("svc", {"kind": "rbf", "gamma": 0.5}),
     ("svc", {"kind": "poly", "gamma": 1.0, "degree": 2, "shift": 1.0}),
+    ("svc", {"kind": "linear"}),
 ]
 
 
