@@ -12,6 +12,7 @@ MACHINES = [
     ("svc", {"kind": "rbf", "gamma": 0.5}),
     ("svc", {"kind": "poly", "gamma": 1.0, "degree": 2, "shift": 1.0}),
     ("svc", {"kind": "linear"}),
+    ("svc", {"kind": "sigmoid", "gamma": 0.1, "shift": -0.25}),
 ]
 
 
