@@ -13,6 +13,7 @@ MACHINES = [
     ("svc", {"kind": "poly", "gamma": 1.0, "degree": 2, "shift": 1.0}),
     ("svc", {"kind": "linear"}),
     ("svc", {"kind": "sigmoid", "gamma": 0.1, "shift": -0.25}),
+    ("robust_svc", {"kind": "rbf", "gamma": 0.5}),
 ]
 
 
