@@ -15,6 +15,7 @@ MACHINES = [
     ("svc", {"kind": "sigmoid", "gamma": 0.1, "shift": -0.25}),
     ("robust_svc", {"kind": "rbf", "gamma": 0.5}),
     ("one_class", {"kind": "rbf", "gamma": 0.5}),
+    ("svr", {"kind": "rbf", "gamma": 0.5}),
 ]
 
 
