@@ -16,6 +16,7 @@ MACHINES = [
     ("robust_svc", {"kind": "rbf", "gamma": 0.5}),
     ("one_class", {"kind": "rbf", "gamma": 0.5}),
     ("svr", {"kind": "rbf", "gamma": 0.5}),
+    ("extreme", {}),
 ]
 
 
