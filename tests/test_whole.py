@@ -17,6 +17,7 @@ MACHINES = [
     ("one_class", {"kind": "rbf", "gamma": 0.5}),
     ("svr", {"kind": "rbf", "gamma": 0.5}),
     ("extreme", {}),
+    ("sparse_logistic", {}),
 ]
 
 
