@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from caseforge.operators import kernels
+from caseforge.operators import kernels, robust
 
 MACHINES = [
     ("svc", {"kind": "rbf", "gamma": 0.5}),
@@ -30,3 +30,16 @@ def test_machine_of_over_5000_training_rows(spark, name, options):
     assert len(out) == 20 and np.isfinite(out["score"]).all()
     if name != "one_class":
         assert (np.sign(out["score"]) == y[5200:]).all()
+
+
+def _scale(spark, scale):
+    v = np.random.default_rng(3).integers(0, 3000, 10_100) / 7
+    df = spark.createDataFrame(pd.DataFrame({"feat": "a", "value": v}))
+    return v, robust.fit_robust(df, ["feat"], scale).first()["sd"]
+
+
+def test_qn_of_over_10000_values(spark):
+    v, sd = _scale(spark, "qn")
+    s, h, t = np.sort(v), len(v) // 2 + 1, sd / robust.QN
+    at_most = lambda t: sum(int((s[i + 1 :] - s[i] <= t).sum()) for i in range(len(s)))
+    assert at_most(t - 1e-9) < h * (h - 1) // 2 <= at_most(t + 1e-9)
