@@ -43,3 +43,9 @@ def test_qn_of_over_10000_values(spark):
     s, h, t = np.sort(v), len(v) // 2 + 1, sd / robust.QN
     at_most = lambda t: sum(int((s[i + 1 :] - s[i] <= t).sum()) for i in range(len(s)))
     assert at_most(t - 1e-9) < h * (h - 1) // 2 <= at_most(t + 1e-9)
+
+
+def test_sn_of_over_10000_values(spark):
+    v, sd = _scale(spark, "sn")
+    inner = np.sort([np.partition(np.abs(v - x), len(v) // 2)[len(v) // 2] for x in v])
+    assert sd == pytest.approx(robust.SN * inner[(len(v) + 1) // 2 - 1])
