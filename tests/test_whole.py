@@ -49,3 +49,14 @@ def test_sn_of_over_10000_values(spark):
     v, sd = _scale(spark, "sn")
     inner = np.sort([np.partition(np.abs(v - x), len(v) // 2)[len(v) // 2] for x in v])
     assert sd == pytest.approx(robust.SN * inner[(len(v) + 1) // 2 - 1])
+
+
+def test_sequential_impute_of_over_20000_rows(spark):
+    x = np.random.default_rng(4).normal(size=(20_010, 2)).round(3)
+    rows = [(i, [float(a), None if i in (7, 9) else float(b)]) for i, (a, b) in enumerate(x)]
+    got = {r["case_id"]: r["f"] for r in robust.sequential_impute(spark.createDataFrame(rows, "case_id long, f array<double>").repartition(4), "case_id", "f", 3).collect()}
+    known = np.delete(x, (7, 9), axis=0)
+    far = np.abs(known[:, 0] - x[7, 0])
+    near = np.argsort(far, kind="stable")[:3]
+    w = 1 / np.maximum(far[near], 1e-12)
+    assert len(got) == 20_010 and got[7][1] == pytest.approx((w / w.sum()) @ known[near, 1]) and got[9][1] is not None
