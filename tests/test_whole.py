@@ -60,3 +60,12 @@ def test_sequential_impute_of_over_20000_rows(spark):
     near = np.argsort(far, kind="stable")[:3]
     w = 1 / np.maximum(far[near], 1e-12)
     assert len(got) == 20_010 and got[7][1] == pytest.approx((w / w.sum()) @ known[near, 1]) and got[9][1] is not None
+
+
+def test_hybrid_impute_of_over_20000_rows(spark):
+    v = np.random.default_rng(5).permutation(20_010).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"case_id": range(20_010), "v": [None if i == 3 else float(i) for i in range(20_010)], "w": v, "c": "x"}), "case_id long, v double, w double, c string")
+    got = {r["case_id"]: r["v"] for r in robust.hybrid_impute(df, "case_id", ["v", "w"], ["c"], 1).collect()}
+    gap = np.abs(v - v[3])
+    gap[3] = np.inf
+    assert len(got) == 20_010 and got[3] == gap.argmin()
