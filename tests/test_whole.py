@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from caseforge.operators import kernels, robust
+from caseforge.operators import kernels, margins, robust
 
 MACHINES = [
     ("svc", {"kind": "rbf", "gamma": 0.5}),
@@ -69,3 +69,13 @@ def test_hybrid_impute_of_over_20000_rows(spark):
     gap = np.abs(v - v[3])
     gap[3] = np.inf
     assert len(got) == 20_010 and got[3] == gap.argmin()
+
+
+def _margin_rows(spark):
+    y = np.where(np.arange(5010) % 2, 1, -1)
+    x = np.c_[np.random.default_rng(6).normal(size=(5010, 2)), y * 3.0]
+    return spark.createDataFrame(pd.DataFrame({"case_id": range(5010), "f": x.tolist(), "y": y}))
+
+
+def test_margin_weights_of_over_5000_rows(spark):
+    assert int(np.argmax(margins.margin_weights(_margin_rows(spark), "case_id", "f", "y", 1))) == 2
