@@ -79,3 +79,7 @@ def _margin_rows(spark):
 
 def test_margin_weights_of_over_5000_rows(spark):
     assert int(np.argmax(margins.margin_weights(_margin_rows(spark), "case_id", "f", "y", 1))) == 2
+
+
+def test_margin_subset_of_over_5000_rows(spark):
+    assert 3 in margins.margin_subset(_margin_rows(spark), "case_id", "f", "y", 1)
