@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from caseforge.operators import kernels, margins, robust
+from caseforge.operators import kernels, margins, neighbours, robust
 
 MACHINES = [
     ("svc", {"kind": "rbf", "gamma": 0.5}),
@@ -83,3 +83,22 @@ def test_margin_weights_of_over_5000_rows(spark):
 
 def test_margin_subset_of_over_5000_rows(spark):
     assert 3 in margins.margin_subset(_margin_rows(spark), "case_id", "f", "y", 1)
+
+
+def test_close_rows_equal_those_by_differences():
+    rng = np.random.default_rng(8)
+    t = np.round(np.r_[rng.normal(size=(300, 5)), np.zeros((40, 5)), rng.normal(size=(60, 5)) + 1e4], 1)
+    q, names, own = t[::3], np.arange(400)[::3], np.arange(400)
+    got = {i: [] for i in range(len(q))}
+    for rows, cols, far in neighbours._close(q, t, names, own, 4):
+        for r, c, d in zip(rows, cols, far, strict=True):
+            got[r].append((c, d))
+    for i, v in enumerate(q):
+        d = np.round(np.sqrt(((t - v) ** 2).sum(axis=1)), 9)
+        d[names[i]] = np.inf
+        assert [c for c, _ in got[i]] == np.lexsort((own, d))[:4].tolist()
+
+def test_locality_preserving_of_over_5000_rows(spark):
+    x = np.random.default_rng(9).normal(size=(5010, 3)) * [1.0, 3.0, 9.0]
+    df = spark.createDataFrame(pd.DataFrame({"case_id": range(5010), "f": x.tolist()}))
+    assert kernels.embedded(df, "case_id", "f", "locality_preserving", 2).count() == 5010
