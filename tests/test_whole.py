@@ -102,3 +102,19 @@ def test_locality_preserving_of_over_5000_rows(spark):
     x = np.random.default_rng(9).normal(size=(5010, 3)) * [1.0, 3.0, 9.0]
     df = spark.createDataFrame(pd.DataFrame({"case_id": range(5010), "f": x.tolist()}))
     assert kernels.embedded(df, "case_id", "f", "locality_preserving", 2).count() == 5010
+
+
+@pytest.mark.parametrize("name,options", [("laplacian", {})])
+def test_map_of_over_5000_rows(spark, name, options):
+    x = np.random.default_rng(10).normal(size=(5010, 12)) * np.r_[4.0, 3.0, np.ones(10)] / 4
+    df = spark.createDataFrame(pd.DataFrame({"case_id": range(5010), "f": x.tolist()}))
+    out = kernels.embedded(df, "case_id", "f", name, 2, **options).toPandas()
+    assert len(out) == 5010 and np.isfinite(out["scores"].tolist()).all()
+
+
+@pytest.mark.parametrize("name,options", [("laplacian", {})])
+def test_map_by_products_equals_that_of_a_whole_matrix(monkeypatch, name, options):
+    x = np.random.default_rng(12).normal(size=(300, 5)) * [4.0, 2.0, 1.0, 1.0, 1.0] / 4
+    whole = kernels.MAPS[name](x, 2, **options)
+    monkeypatch.setattr(kernels, "NUMBERS", 20_000)
+    assert kernels.MAPS[name](x, 2, **options) == pytest.approx(whole, abs=1e-6 * np.abs(whole).max())
