@@ -104,7 +104,7 @@ def test_locality_preserving_of_over_5000_rows(spark):
     assert kernels.embedded(df, "case_id", "f", "locality_preserving", 2).count() == 5010
 
 
-@pytest.mark.parametrize("name,options", [("laplacian", {}), ("kernel_pca", {"gamma": 0.5}), ("locally_linear", {})])
+@pytest.mark.parametrize("name,options", [("laplacian", {}), ("kernel_pca", {"gamma": 0.5}), ("locally_linear", {}), ("isometric", {"near": 4})])
 def test_map_of_over_5000_rows(spark, name, options):
     x = np.random.default_rng(10).normal(size=(5010, 12)) * np.r_[4.0, 3.0, np.ones(10)] / 4
     df = spark.createDataFrame(pd.DataFrame({"case_id": range(5010), "f": x.tolist()}))
@@ -112,7 +112,7 @@ def test_map_of_over_5000_rows(spark, name, options):
     assert len(out) == 5010 and np.isfinite(out["scores"].tolist()).all()
 
 
-@pytest.mark.parametrize("name,options", [("laplacian", {}), ("kernel_pca", {"gamma": 0.5}), ("locally_linear", {})])
+@pytest.mark.parametrize("name,options", [("laplacian", {}), ("kernel_pca", {"gamma": 0.5}), ("locally_linear", {}), ("isometric", {})])
 def test_map_by_products_equals_that_of_a_whole_matrix(monkeypatch, name, options):
     x = np.random.default_rng(12).normal(size=(300, 5)) * [4.0, 2.0, 1.0, 1.0, 1.0] / 4
     whole = kernels.MAPS[name](x, 2, **options)
