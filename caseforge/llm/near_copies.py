@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, portions, table_bytes, text_or_empty, written
+from .common import free_name, portions, table_bytes, text_or_empty, trimmed, written
 from .components import components
 from .simhash import SEED, bit_counts, links, one_a_group, row_key
 
@@ -106,7 +106,7 @@ def _described(df: DataFrame, doc_id: str, text: str, prints: int) -> DataFrame:
                 columns = [part.column(0), part.column(1), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(own, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "node", "size", "prints"])
 
-    return source.mapInArrow(run, "doc_id long, row string, node long, size long, prints array<long>")
+    return source.mapInArrow(trimmed(run), "doc_id long, row string, node long, size long, prints array<long>")
 
 
 def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def confirmed(members: DataFrame) -> DataFrame:
         as_pivot = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(s.alias("salt"), F.lit(0).alias("member")))
         dealt = rows.withColumn("x", F.explode(F.when(F.col("is_pivot"), F.concat(as_pivot, as_member)).otherwise(as_member)))
         dealt = dealt.select("cluster", "x.salt", "x.member", "node", "comp", "text").repartition("cluster", "salt").sortWithinPartitions("cluster", "salt", "member")
-        found = dealt.mapInArrow(near_pairs, "a long, b long")
+        found = dealt.mapInArrow(trimmed(near_pairs), "a long, b long")
         known = now.filter("comp <> node").select(F.col("node").alias("a"), F.col("comp").alias("b"))
         roots = components(known.unionByName(found)).select(F.col("node").alias("of"), "root")
         state, _ = written(now.join(roots, F.col("node") == F.col("of"), "left").select("cluster", "node", "size", F.coalesce("root", "comp").alias("comp"), "asked"), "cluster-state")

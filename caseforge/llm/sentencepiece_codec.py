@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, portions, text_or_empty
+from .common import free_name, portions, text_or_empty, trimmed
 
 MARK = "▁"
 _BIG = 1 << 22  # over any symbol number, so that a pair is one integer
@@ -411,7 +411,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
                 column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, len(texts)) for k in range(len(kept))), column], names=[*kept, ids])
 
-    return source.mapInArrow(run, f"{schema}, `{ids}` array<int>")
+    return source.mapInArrow(trimmed(run), f"{schema}, `{ids}` array<int>")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -431,7 +431,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
                 texts = model.decode(np.concatenate(rows), at)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*kept, text])
 
-    return source.mapInArrow(run, f"{schema}, `{text}` string")
+    return source.mapInArrow(trimmed(run), f"{schema}, `{text}` string")
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", back: str = "decoded") -> DataFrame:
@@ -454,7 +454,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", b
                 again = pa.array(model.decode(flat, at), pa.string())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, len(texts)) for k in range(len(kept))), column, again], names=[*kept, ids, back])
 
-    return source.mapInArrow(run, f"{schema}, `{ids}` array<int>, `{back}` string")
+    return source.mapInArrow(trimmed(run), f"{schema}, `{ids}` array<int>, `{back}` string")
 
 
 def codec_digests(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -478,4 +478,4 @@ def codec_digests(df: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                 columns = [batch.column(0).slice(a, len(texts)), pa.array(np.diff(at)), pa.array(coded, pa.string()), pa.array(plain, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, portions, table_bytes, text_or_empty, written
+from .common import free_name, portions, table_bytes, text_or_empty, trimmed, written
 from .components import components
 
 WORDS = 4
@@ -88,7 +88,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", word
                 own = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.view(np.int64)), *part.columns[2:]], names=names)
 
-    return source.mapInArrow(run, "doc_id long, fp long" + ("" if row is None else ", row string"))
+    return source.mapInArrow(trimmed(run), "doc_id long, fp long" + ("" if row is None else ", row string"))
 
 
 class _Found:
@@ -242,7 +242,7 @@ def links(prints: DataFrame, bits: int, parts: int, top: int, several: int = 0)
             for at in range(0, len(a), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (a, b)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(trimmed(run), "a long, b long")
 
 
 def top_of(n: int, parts: int = PARTS) -> int:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, free_name, portions, removed, text_or_empty, written
+from .common import fold_of, free_name, portions, removed, text_or_empty, trimmed, written
 
 #: Bounds of the training sample: confirmed toxic ids, and labelled ids that stand for unlabelled ones.
 POSITIVES = 2500
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 found = [np.array(sorted(features_of(t)), dtype=np.int64) for t in own]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(own)), batch.column(1).slice(a, len(own)), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "y", "f"])
 
-    rows, path = written(sampled.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f array<long>"), "toxic-sample")
+    rows, path = written(sampled.select("doc_id", "y", "text").mapInArrow(trimmed(run), "doc_id long, y int, f array<long>"), "toxic-sample")
     sides = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sides) < 2:
         return train([], [], prior)
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             gain = evidence(batch.column(1).to_numpy(), batch.column(2).to_numpy(), sides[1], sides[0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gain)], names=["f", "gain"])
 
-    told = counts.mapInArrow(weigh, "f long, gain double").filter(F.col("gain") >= EVIDENCE)
+    told = counts.mapInArrow(trimmed(weigh), "f long, gain double").filter(F.col("gain") >= EVIDENCE)
     kept = told.orderBy(F.desc("gain"), "f").limit(FEATURES)  # a bounded side
     lists = rows.join(F.broadcast(kept.agg(F.collect_list("f").alias("kept")))).select("doc_id", "y", F.array_intersect("f", "kept").alias("f"))  # one row
     got = lists.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
@@ -203,7 +203,7 @@ def scored(df: DataFrame, model: Model, text: str = "text", score: str = "score"
                 scores = pa.array([rate(t) for t in texts], pa.float64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, len(texts)) for k in range(len(kept))), scores], names=[*kept, score])
 
-    return source.mapInArrow(run, f"{schema}, `{score}` double")
+    return source.mapInArrow(trimmed(run), f"{schema}, `{score}` double")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -253,6 +253,24 @@ def test_media_pairs_of_long_entries_are_all_found(spark):
     assert {(r["class_id"], r["n_links"]) for r in out} == {(0, 11)}
 
 
+def test_trimmed_gives_memory_back():
+    """Blocks below a live one stay with the process until they are trimmed."""
+    from caseforge.llm.common import trimmed
+
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    live = []
+
+    def run(batches):
+        for n in batches:
+            blocks = [np.ones(8000) for _ in range(4000)]
+            live.append(np.ones(8000))
+            yield n + len(blocks)
+
+    before = held()
+    assert list(trimmed(run)(iter([1]))) == [4001] and live
+    assert held() - before < 64e6
+
+
 def test_media_of_any_size():
     assert media_copies.corners_of(np.zeros((1, 5, 5), dtype=np.float32))[0].size == 0
     large = np.kron(media_copies.draw(list(np.linspace(-0.2, 0.2, 64))), np.ones((16, 16)))[None].astype(np.float32)
