@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import removed, table_bytes, written
+from .common import removed, table_bytes, trimmed, written
 from .components import components
 
 #: Side beyond which pictures are reduced first, and up to which they are enlarged too.
@@ -46,8 +46,8 @@ TURN_STEPS, SCALE_STEPS = 3, 2
 TURNS = 32
 #: Bytes of a written table up to which it is broadcast.
 BROADCAST_BYTES = 16 << 20
-#: Pixels that are described at once.
-PIXELS = 4_000_000
+#: Pixels that are described at once, and corners whose keys are made at once.
+PIXELS, CORNERS = 4_000_000, 16_384
 
 _rng = np.random.default_rng(7)
 _TESTS = np.clip(np.round(_rng.normal(0, RADIUS / 2.2, (256, 4))), -RADIUS + 1, RADIUS - 1)
@@ -249,7 +249,7 @@ def described(media: DataFrame) -> DataFrame:
                         out[i] = _packed(*(c[k] for c in columns))
                 yield pd.DataFrame({"media_id": part["media_id"].astype("Int64"), "media_hash": part["media_hash"], "readable": [m is not None for m in images], "corners": out})
 
-    return media.select("media_id", "media_hash", "media").mapInPandas(run, "media_id long, media_hash string, readable boolean, corners binary")
+    return media.select("media_id", "media_hash", "media").mapInPandas(trimmed(run), "media_id long, media_hash string, readable boolean, corners binary")
 
 
 def _small(df: DataFrame, path: str) -> DataFrame:
@@ -277,11 +277,21 @@ def _mixed(key: np.ndarray, more: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(32))
 
 
-def table_keys(features: DataFrame, bits: bool = False) -> DataFrame:
-    """(key, mark): of each corner and table the key, and image, place, turn, scale in one number; with `bits` the whole descriptor too."""
+def _held(corners: pd.Series, most: int) -> Iterator[tuple[int, int]]:
+    """Slices of rows of `most` corners at most (one row at least)."""
+    ends = np.cumsum([len(c) // _CORNER.itemsize for c in corners], dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, upto
+        at = upto
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+
+def _keyed(batches: Iterator[pd.DataFrame], bits: bool) -> Iterator[pd.DataFrame]:
+    """Keys of a batch's images by CORNERS corners: a batch may hold 10,000 images, and their keys take up to 384 bytes a corner."""
+    for whole in batches:
+        for a, b in _held(whole["corners"], CORNERS):
+            pdf = whole.iloc[a:b]
             corners = np.frombuffer(b"".join(pdf["corners"]), dtype=_CORNER)
             counts = np.array([len(c) // _CORNER.itemsize for c in pdf["corners"]], dtype=np.int64)
             own = corners["bits"]
@@ -297,7 +307,10 @@ def table_keys(features: DataFrame, bits: bool = False) -> DataFrame:
                 out = out.assign(**{f"w{k}": words[:, k] for k in range(4)})
             yield out
 
-    return features.select("fid", "corners").mapInPandas(run, "key long, mark long" + (", w0 long, w1 long, w2 long, w3 long" if bits else ""))
+
+def table_keys(features: DataFrame, bits: bool = False) -> DataFrame:
+    """(key, mark): of each corner and table the key, and image, place, turn, scale in one number; with `bits` the whole descriptor too."""
+    return features.select("fid", "corners").mapInPandas(trimmed(lambda batches: _keyed(batches, bits)), "key long, mark long" + (", w0 long, w1 long, w2 long, w3 long" if bits else ""))
 
 
 def _shared(a: str, b: str) -> list:
@@ -359,7 +372,7 @@ def candidate_pairs(features: DataFrame) -> DataFrame:
     short = own.filter("chunks = 1").select("key", F.lit(0).cast("long").alias("tile"), F.lit(2).alias("side"), "mark", *words)
     long_ = own.filter("chunks > 1").select("key", F.explode(tiles).alias("_t"), "mark", *words).select("key", "_t.tile", "_t.side", "mark", *words)
     parts = short if entries.filter("chunks > 1").isEmpty() else short.unionByName(long_)
-    pairs = parts.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_met, "x long, z long")
+    pairs = parts.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(trimmed(_met), "x long, z long")
     out, pairs_path = written(pairs.select(*_shared("x", "z")).distinct(), "pairs")
     removed(features.sparkSession, path)
     told = out.repartition("a", "b").groupBy("a", "b").agg(F.collect_set(F.struct("place", "turn", "level")).alias("l")).filter("size(l) > 1")  # corners x TABLES at most
@@ -415,7 +428,7 @@ def verified(pairs: DataFrame, features: DataFrame) -> DataFrame:
             out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "votes": [agreeing(x, z) for x, z in zip(pdf["ca"], pdf["cb"], strict=True)]})
             yield out[out["votes"] >= VOTES]
 
-    return joined.select("a", "b", "ca", "cb").mapInPandas(run, "a long, b long, votes int")
+    return joined.select("a", "b", "ca", "cb").mapInPandas(trimmed(run), "a long, b long, votes int")
 
 
 def copies(df: DataFrame, media_id: str = "media_id", media: str = "media") -> DataFrame:
@@ -506,4 +519,4 @@ def drawn(embeddings: DataFrame) -> DataFrame:
                     media.append(encode_pgm(np.round(edited(picture, EDITS[int(i) // 10 % len(EDITS)]))))
             yield pd.DataFrame({"media_id": pd.array(ids, dtype="Int64"), "media": media})
 
-    return embeddings.select("vec_id", "embedding").mapInPandas(run, "media_id long, media binary")
+    return embeddings.select("vec_id", "embedding").mapInPandas(trimmed(run), "media_id long, media binary")

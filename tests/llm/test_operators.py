@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -271,6 +272,17 @@ def test_trimmed_gives_memory_back():
     assert held() - before < 64e6
 
 
+def test_media_keys_of_a_large_batch_come_in_portions():
+    one = np.zeros(20, dtype=media_copies._CORNER)
+    one["y"], one["bits"][:, 0] = np.arange(20), np.arange(20)
+    batch = pd.DataFrame({"fid": range(3000), "corners": [one.tobytes()] * 2999 + [np.tile(one, 1000).tobytes()]})
+    parts = list(media_copies._keyed(iter([batch]), True))
+    assert sum(map(len, parts)) == (2999 * 20 + 20_000) * media_copies.TABLES
+    assert max(map(len, parts[:-1])) <= media_copies.CORNERS * media_copies.TABLES and len(parts[-1]) == 20_000 * media_copies.TABLES
+    whole = pd.concat(parts)
+    assert whole.groupby(whole["mark"].to_numpy() >> media_copies._GEO).size().tolist() == [160] * 2999 + [160_000]
+
+
 def test_media_of_any_size():
     assert media_copies.corners_of(np.zeros((1, 5, 5), dtype=np.float32))[0].size == 0
     large = np.kron(media_copies.draw(list(np.linspace(-0.2, 0.2, 64))), np.ones((16, 16)))[None].astype(np.float32)
