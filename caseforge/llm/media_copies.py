@@ -48,6 +48,8 @@ TURNS = 32
 BROADCAST_BYTES = 16 << 20
 #: Pixels that are described at once, and corners whose keys are made at once.
 PIXELS, CORNERS = 4_000_000, 16_384
+#: Pictures of a batch that a Python worker gets or gives.
+PICTURES = 256
 
 _rng = np.random.default_rng(7)
 _TESTS = np.clip(np.round(_rng.normal(0, RADIUS / 2.2, (256, 4))), -RADIUS + 1, RADIUS - 1)
@@ -259,7 +261,7 @@ def _small(df: DataFrame, path: str) -> DataFrame:
 
 def _numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """Adds fid: numbers without large gaps, from the number of rows of each written partition (a row a partition on the driver)."""
-    own, _ = written(df.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    own, _ = written(df.withColumn("_id", F.monotonically_increasing_id()), "numbered", tidy=True)
     counts = {r["p"]: r["n"] for r in own.groupBy(F.shiftright("_id", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, at = {}, 0
     for p in sorted(counts):
@@ -314,16 +316,50 @@ def table_keys(features: DataFrame, bits: bool = False) -> DataFrame:
 
 
 def _shared(a: str, b: str) -> list:
-    """What an entry tells of two marks: images a < b, place on a, turn and scale from a to b."""
+    """What an entry tells of two marks: images a < b; and in one number (as marks have it) the place on a, turn and scale from a to b."""
     low, high = F.least(a, b), F.greatest(a, b)
     bits = lambda m, at, n: F.shiftright(m, at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
-    return [F.shiftright(low, _GEO).alias("a"), F.shiftright(high, _GEO).alias("b"), bits(low, 11, 16).alias("place"), F.pmod(bits(high, 6, 5) - bits(low, 6, 5), F.lit(TURNS)).alias("turn"), (bits(high, 0, 6) - bits(low, 0, 6)).alias("level")]
+    turn, level = F.pmod(bits(high, 6, 5) - bits(low, 6, 5), F.lit(TURNS)), bits(high, 0, 6) - bits(low, 0, 6) + 64
+    return [F.shiftright(low, _GEO).alias("a"), F.shiftright(high, _GEO).alias("b"), (bits(low, 11, 16) * (TURNS << 7) + turn * 128 + level).alias("told")]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns by portions of about HELD rows that end where a group of the first `keys` columns, in whose order rows come, ends."""
+    held = [np.zeros(0, dtype=np.int64)] * len(names)
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)]) for h, n in zip(held, names, strict=True)]
+        if len(held[0]) > HELD:
+            last = np.flatnonzero(np.any([h != h[-1] for h in held[:keys]], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            yield [h[:cut] for h in held]
+            held = [h[cut:] for h in held]
+    yield held
+
+
+def _agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the image pairs that are told of two places with about the same turn and scale; rows come in order of a and b."""
+    for a, b, told in _whole_groups(batches, ["a", "b", "told"], 2):
+        change = np.ones(len(a), dtype=bool)
+        change[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        group, start = np.cumsum(change) - 1, np.flatnonzero(change)
+        place, turn, level = told >> 12, told >> 7 & 31, told & 127
+        found = np.zeros(len(start), dtype=bool)
+        at, lag = np.arange(len(a)), 1
+        while True:
+            at = at[at + lag < len(a)]
+            at = at[(group[at + lag] == group[at]) & ~found[group[at]]]
+            if not len(at):
+                break
+            z = at + lag
+            gap = np.abs(turn[at] - turn[z])
+            alike = (place[at] != place[z]) & (np.minimum(gap, TURNS - gap) <= TURN_STEPS) & (np.abs(level[at] - level[z]) <= SCALE_STEPS)
+            found[group[at[alike]]] = True
+            lag += 1
+        yield pa.RecordBatch.from_arrays([pa.array(a[start[found]]), pa.array(b[start[found]])], names=["a", "b"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(x, z): marks of all pairs of an entry's corners of different images with MATCH_BITS differing bits at most; rows come in order of key and tile."""
-    names = ["key", "tile", "side", "mark", "w0", "w1", "w2", "w3"]
-    held = [np.zeros(0, dtype=np.int64)] * len(names)
 
     def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, tile, side, mark = cols[:4]
@@ -344,14 +380,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(mark[at[keep][near]]), pa.array(mark[z[keep][near]])], names=["x", "z"])
             lag += 1
 
-    for batch in batches:
-        held = [np.concatenate([h, batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)]) for h, n in zip(held, names, strict=True)]
-        if len(held[0]) > HELD:
-            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            yield from pairs([h[:cut] for h in held])
-            held = [h[cut:] for h in held]
-    yield from pairs(held)
+    for cols in _whole_groups(batches, ["key", "tile", "side", "mark", "w0", "w1", "w2", "w3"], 2):
+        yield from pairs(cols)
 
 
 def candidate_pairs(features: DataFrame) -> DataFrame:
@@ -363,7 +393,7 @@ def candidate_pairs(features: DataFrame) -> DataFrame:
     # dealt out before they are counted: nearly all keys differ, so counting them first would only fill memory and spill
     counted = table_keys(features).repartition("key").groupBy("key").agg(F.min("mark").alias("first"), F.max("mark").alias("last"), F.count(F.lit(1)).alias("n"))
     shared = counted.filter(F.shiftright("first", _GEO) < F.shiftright("last", _GEO)).select(F.col("key").alias("k"), F.ceil(F.col("n") / ENTRY).cast("int").alias("chunks"))
-    entries, path = written(shared, "entries")
+    entries, path = written(shared, "entries", tidy=True)
     own = table_keys(features, bits=True).join(_small(entries, path), F.col("key") == F.col("k"))
     # a long entry is cut into chunks, and each two of them meet in a tile of their own
     chunk = F.pmod(F.xxhash64("mark"), "chunks").cast("int")
@@ -373,16 +403,10 @@ def candidate_pairs(features: DataFrame) -> DataFrame:
     long_ = own.filter("chunks > 1").select("key", F.explode(tiles).alias("_t"), "mark", *words).select("key", "_t.tile", "_t.side", "mark", *words)
     parts = short if entries.filter("chunks > 1").isEmpty() else short.unionByName(long_)
     pairs = parts.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(trimmed(_met), "x long, z long")
-    out, pairs_path = written(pairs.select(*_shared("x", "z")).distinct(), "pairs")
+    # told by pair of images at once: a table of the met pairs, and an exchange to make them distinct, would be on disk beside this one
+    told = pairs.select(*_shared("x", "z")).repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(trimmed(_agreed), "a long, b long")
+    found = written(told, "candidates", tidy=True)[0]
     removed(features.sparkSession, path)
-    told = out.repartition("a", "b").groupBy("a", "b").agg(F.collect_set(F.struct("place", "turn", "level")).alias("l")).filter("size(l) > 1")  # corners x TABLES at most
-
-    def agree(u, v):
-        gap = F.pmod(u["turn"] - v["turn"], F.lit(TURNS))
-        return (u["place"] < v["place"]) & (F.least(gap, F.lit(TURNS) - gap) <= TURN_STEPS) & (F.abs(u["level"] - v["level"]) <= SCALE_STEPS)
-
-    found = written(told.filter(F.exists("l", lambda u: F.exists("l", lambda v: agree(u, v)))).select("a", "b"), "candidates")[0]
-    removed(features.sparkSession, pairs_path)
     return found
 
 
@@ -418,8 +442,8 @@ def agreeing(a: bytes, b: bytes) -> int:
 
 def verified(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """(a, b, votes) of the pairs with enough agreeing matches. Only images that are in a pair move."""
-    met, path = written(pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct(), "met")
-    own, _ = written(features.join(_small(met, path), F.col("fid") == F.col("m"), "left_semi").select("fid", "corners"), "compared")
+    met, path = written(pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct(), "met", tidy=True)
+    own, _ = written(features.join(_small(met, path), F.col("fid") == F.col("m"), "left_semi").select("fid", "corners"), "compared", tidy=True)
     side = lambda k: own.select(F.col("fid").alias(f"f{k}"), F.col("corners").alias(f"c{k}"))
     joined = pairs.join(side("a"), F.col("a") == F.col("fa")).join(side("b"), F.col("b") == F.col("fb"))
 
@@ -441,11 +465,11 @@ def copies(df: DataFrame, media_id: str = "media_id", media: str = "media") -> D
     """
     raw = F.coalesce(F.col(f"`{media}`"), F.lit(b""))
     own = df.select(F.col(f"`{media_id}`").cast("long").alias("media_id"), raw.alias("media"), F.sha2(raw, 256).alias("media_hash"))
-    rows, _ = written(described(own).withColumn("row", F.monotonically_increasing_id()), "described")
+    rows, _ = written(described(own).withColumn("row", F.monotonically_increasing_id()), "described", rows=PICTURES)
     distinct = rows.groupBy("media_hash").agg(F.min("media_id").alias("least"), F.min("row").alias("first"), F.first("readable").alias("readable"), F.first(F.length("corners") / _CORNER.itemsize).cast("long").alias("n_corners"))
     numbered, path = _numbered(distinct)
     features = rows.select("row", "corners").join(_small(numbered.select("first", "fid"), path), F.col("row") == F.col("first")).select("fid", "corners")
-    links, _ = written(verified(candidate_pairs(features), features), "copies")
+    links, _ = written(verified(candidate_pairs(features), features), "copies", tidy=True)
     roots = components(links.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n_links"))
     classes = numbered.join(roots, F.col("fid") == F.col("node"), "left").select("media_hash", "fid", "least", "n_corners", "readable", F.coalesce("root", "fid").alias("root"))
@@ -507,16 +531,17 @@ def drawn(embeddings: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, media = [], []
-            for i, vector in zip(pdf["vec_id"], pdf["embedding"], strict=True):
-                known = pd.notna(i)
-                picture = draw(vector) if vector is not None and len(vector) else None
-                ids.append(int(i) * 2 if known else None)
-                media.append(None if picture is None else encode_pgm(np.round(picture)))
-                if known and picture is not None and int(i) % 10 == 0:
-                    ids.append(int(i) * 2 + 1)
-                    media.append(encode_pgm(np.round(edited(picture, EDITS[int(i) // 10 % len(EDITS)]))))
-            yield pd.DataFrame({"media_id": pd.array(ids, dtype="Int64"), "media": media})
+        for whole in batches:
+            for at in range(0, len(whole), PICTURES):
+                pdf, ids, media = whole.iloc[at : at + PICTURES], [], []
+                for i, vector in zip(pdf["vec_id"], pdf["embedding"], strict=True):
+                    known = pd.notna(i)
+                    picture = draw(vector) if vector is not None and len(vector) else None
+                    ids.append(int(i) * 2 if known else None)
+                    media.append(None if picture is None else encode_pgm(np.round(picture)))
+                    if known and picture is not None and int(i) % 10 == 0:
+                        ids.append(int(i) * 2 + 1)
+                        media.append(encode_pgm(np.round(edited(picture, EDITS[int(i) // 10 % len(EDITS)]))))
+                yield pd.DataFrame({"media_id": pd.array(ids, dtype="Int64"), "media": media})
 
     return embeddings.select("vec_id", "embedding").mapInPandas(trimmed(run), "media_id long, media binary")

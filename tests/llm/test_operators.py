@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -283,6 +284,50 @@ def test_media_keys_of_a_large_batch_come_in_portions():
     assert whole.groupby(whole["mark"].to_numpy() >> media_copies._GEO).size().tolist() == [160] * 2999 + [160_000]
 
 
+def test_media_pairing_leaves_no_shuffle_files(spark):
+    """The keys' exchange is as large as all that follows: it must not stay on disk beside it."""
+    rng = np.random.default_rng(5)
+    pictures = np.stack([np.round(media_copies.draw((v / 8).tolist())) for v in rng.normal(size=(6, 64))]).astype(np.float32)
+    which, *columns = media_copies.corners_of(np.concatenate([pictures, pictures * 0.9]))
+    rows = [(i, media_copies._packed(*(c[which == i] for c in columns))) for i in range(12)]
+    features = spark.createDataFrame(rows, "fid long, corners binary")
+    held = lambda: sum(str(f).split("/")[-1].startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = held()
+    assert {(r["a"], r["b"]) for r in media_copies.candidate_pairs(features).collect()} >= {(i, i + 6) for i in range(6)}
+    assert held() <= before
+
+
+def test_written_by_small_batches(spark):
+    """Pictures reach a Python worker by batches of few rows; the session's own setting stays."""
+    from caseforge.llm.common import written
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    sizes = spark.range(0, 1000, 1, 2).mapInPandas(lambda it: (pd.DataFrame({"n": [len(p)]}) for p in it), "n long")
+    got = [r["n"] for r in written(sizes, "sizes", rows=70)[0].collect()]
+    assert sum(got) == 1000 and max(got) == 70 and spark.conf.get(name, None) == before
+
+
+def test_media_places_that_agree():
+    """Two places told of a pair, under about the same turn and scale, make a candidate; turns meet at their ends."""
+    rng = np.random.default_rng(6)
+    n = 4000
+    a, b, place, turn, level = rng.integers(0, 30, n), rng.integers(30, 60, n), rng.integers(0, 9, n), rng.integers(0, 32, n), rng.integers(40, 90, n)
+    order = np.lexsort((b, a))
+    a, b, place, turn, level = (v[order] for v in (a, b, place, turn, level))
+    told = place << 12 | turn << 7 | level
+    batches = [pa.RecordBatch.from_arrays([pa.array(v[k : k + 700]) for v in (a, b, told)], names=["a", "b", "told"]) for k in range(0, n, 700)]
+    wanted = {
+        (a[i], b[i]) for i in range(n) for j in range(i + 1, min(i + 40, n))
+        if (a[i], b[i]) == (a[j], b[j]) and place[i] != place[j] and min((turn[i] - turn[j]) % 32, (turn[j] - turn[i]) % 32) <= 3 and abs(level[i] - level[j]) <= 2
+    }
+    for held in (media_copies.HELD, 50):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(media_copies, "HELD", held)
+            got = [(r["a"], r["b"]) for o in media_copies._agreed(iter(batches)) for r in o.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == wanted
+
+
 def test_media_of_any_size():
     assert media_copies.corners_of(np.zeros((1, 5, 5), dtype=np.float32))[0].size == 0
     large = np.kron(media_copies.draw(list(np.linspace(-0.2, 0.2, 64))), np.ones((16, 16)))[None].astype(np.float32)
