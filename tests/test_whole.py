@@ -118,3 +118,33 @@ def test_map_by_products_equals_that_of_a_whole_matrix(monkeypatch, name, option
     whole = kernels.MAPS[name](x, 2, **options)
     monkeypatch.setattr(kernels, "NUMBERS", 20_000)
     assert kernels.MAPS[name](x, 2, **options) == pytest.approx(whole, abs=1e-6 * np.abs(whole).max())
+
+
+def test_kernel_discriminant_of_over_5000_rows(spark):
+    x = np.random.default_rng(13).normal(size=(5010, 2))
+    label = (x[:, 0] > 0).astype(int) + (x[:, 1] > 1)
+    df = spark.createDataFrame(pd.DataFrame({"case_id": range(5010), "f": x.tolist(), "label": label}))
+    out = kernels.embedded(df, "case_id", "f", "kernel_discriminant", 2, "label", gamma=0.5).toPandas().sort_values("case_id")
+    u = np.array(out["scores"].tolist())
+    assert len(u) == 5010 and u.T @ u == pytest.approx(np.eye(2), abs=1e-6)
+    between = sum((label == c).sum() * (u[label == c].mean(axis=0) ** 2) for c in range(3))
+    assert (between > 0.5).all()
+
+
+@pytest.mark.parametrize("width,copies", [(2, 0), (64, 0), (64, 60)])
+def test_kernel_discriminant_by_products_equals_that_of_a_whole_matrix(monkeypatch, width, copies):
+    """Of low rank (the factor), of full rank, and with copies under other labels (conjugate residuals)."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(500, width)) / np.sqrt(width)
+    label = rng.integers(0, 5, 500) + 5 * (x[:, 0] > 0)
+    x, label = np.r_[x, x[:copies]], np.r_[label, (label[:copies] + 1) % 10]
+    whole = kernels.kernel_discriminant(x, 2, label, gamma=0.5)
+    g = kernels.kernel(x, x, gamma=0.5)
+    g = g - g.mean(axis=0) - g.mean(axis=1)[:, None] + g.mean()
+    values, vectors = np.linalg.eigh(g)
+    p = vectors[:, values > 1e-8 * values.max()]
+    block = sum(np.outer(label == c, label == c) / (label == c).sum() for c in range(10))
+    top = np.linalg.eigvalsh(p.T @ block @ p)[::-1][:2]
+    assert np.diag(whole.T @ block @ whole) == pytest.approx(top, abs=1e-6)
+    monkeypatch.setattr(kernels, "NUMBERS", 20_000)
+    assert kernels.kernel_discriminant(x, 2, label, gamma=0.5) == pytest.approx(whole, abs=1e-5 * np.abs(whole).max())
