@@ -32,6 +32,49 @@ def test_machine_of_over_5000_training_rows(spark, name, options):
         assert (np.sign(out["score"]) == y[5200:]).all()
 
 
+def test_relevance_of_over_5000_training_rows(spark):
+    x = np.random.default_rng(15).normal(size=(5220, 2))
+    t = np.sin(2 * x[:, 0])
+    y = t + np.random.default_rng(16).normal(size=5220) * 0.1
+    df = spark.createDataFrame(pd.DataFrame({"fold": 0, "case_id": range(5220), "f": x.tolist(), "y": y, "in_test": np.arange(5220) >= 5200}))
+    out = kernels.fit_predict(df, ["fold"], "case_id", "f", "y", "in_test", "relevance", kind="rbf", gamma=1.0).toPandas().sort_values("case_id")
+    assert len(out) == 20 and np.abs(out["score"].to_numpy() - t[5200:]).mean() < 0.05
+
+
+@pytest.mark.parametrize("width", [2, 64])
+def test_relevance_by_added_functions_has_no_less_evidence_than_by_pruning(monkeypatch, width):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(200, width)) / np.sqrt(width) * 2
+    y = np.sin(2 * x[:, 0]) + 3 + rng.normal(size=200) * 0.1
+
+    def evidence(machine):
+        """Greatest log evidence over the strengths of the machine's functions, by many rounds of re-estimation."""
+        phi = np.c_[np.ones(200), kernels.kernel(x, machine.support, gamma=0.5)]
+        alpha, beta = np.full(phi.shape[1], 1.0), 1.0
+        for _ in range(2000):
+            sigma = np.linalg.inv(beta * phi.T @ phi + np.diag(alpha))
+            mean = beta * sigma @ phi.T @ y
+            gamma = 1 - alpha * np.diag(sigma)
+            alpha, beta = np.clip(gamma / (mean * mean + 1e-30), 1e-12, 1e9), (200 - gamma.sum()) / ((y - phi @ mean) ** 2).sum()
+        c = np.eye(200) / beta + phi @ (phi / alpha).T
+        return -0.5 * (np.linalg.slogdet(c)[1] + y @ np.linalg.solve(c, y))
+
+    pruned = kernels.relevance(x, y, gamma=0.5)
+    monkeypatch.setattr(kernels, "ROWS", 100)
+    monkeypatch.setattr(kernels, "NUMBERS", 5000)
+    added = kernels.relevance(x, y, gamma=0.5)
+    assert evidence(added) > evidence(pruned) - 1
+    assert np.sqrt(np.mean((added(x) - pruned(x)) ** 2)) < 0.1
+
+
+def test_relevance_by_added_functions_of_odd_rows(monkeypatch):
+    monkeypatch.setattr(kernels, "ROWS", 2)
+    x = np.repeat(np.random.default_rng(18).normal(size=(20, 2)), 3, axis=0)
+    assert kernels.relevance(x, np.zeros(60), gamma=0.5)(x) == pytest.approx(np.zeros(60))
+    assert kernels.relevance(x, np.full(60, 7.0), gamma=0.5)(x) == pytest.approx(np.full(60, 7.0), abs=1e-3)
+    assert kernels.relevance(x, 1000 * x[:, 0], kind="linear")(x) == pytest.approx(1000 * x[:, 0], abs=1.0)
+
+
 def _scale(spark, scale):
     v = np.random.default_rng(3).integers(0, 3000, 10_100) / 7
     df = spark.createDataFrame(pd.DataFrame({"feat": "a", "value": v}))
