@@ -6,8 +6,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from caseforge import catalog
 from caseforge.operators import kernels, margins, neighbours, robust
 
+from .conftest import SMALL
+
 MACHINES = [
     ("svc", {"kind": "rbf", "gamma": 0.5}),
     ("svc", {"kind": "poly", "gamma": 1.0, "degree": 2, "shift": 1.0}),
@@ -191,3 +194,37 @@ def test_kernel_discriminant_by_products_equals_that_of_a_whole_matrix(monkeypat
     assert np.diag(whole.T @ block @ whole) == pytest.approx(top, abs=1e-6)
     monkeypatch.setattr(kernels, "NUMBERS", 20_000)
     assert kernels.kernel_discriminant(x, 2, label, gamma=0.5) == pytest.approx(whole, abs=1e-5 * np.abs(whole).max())
+
+
+def _margin_table():
+    e = pd.read_parquet(f"{SMALL}/embeddings.parquet").sort_values("vec_id")
+    return np.array(e["embedding"].tolist(), dtype=float), np.where(e["label"] < 5, 1, -1)
+
+
+def test_rank_margin_reads_its_whole_table(spark):
+    x, y = _margin_table()
+    w = np.ones(x.shape[1])
+    for _ in range(2):
+        for i in np.random.default_rng(42).permutation(len(x)):
+            gap = (x - x[i]) ** 2
+            far = gap @ (w * w)
+            far[i] = np.inf
+            hit, miss = np.where(y == y[i], far, np.inf).argmin(), np.where(y != y[i], far, np.inf).argmin()
+            w = w + 0.5 * (gap[miss] / np.sqrt(far[miss]) - gap[hit] / np.sqrt(far[hit])) * w / np.abs(w).max()
+    got = {r["feat"]: r["weight"] for r in catalog.QUERIES["rank_margin"](spark, SMALL).collect()}
+    assert [got[j + 1] for j in range(64)] == pytest.approx((w * w / (w * w).max()).tolist(), abs=1e-9)
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_margin_weights_by_blocks_equal_those_by_all_differences(spark, classes):
+    rng = np.random.default_rng(19)
+    x, y = np.round(rng.normal(size=(90, 4)), 1), rng.integers(0, classes, 90)
+    w = np.ones(4)
+    for i in np.random.default_rng(42).permutation(90):
+        gap = (x - x[i]) ** 2
+        far = gap @ (w * w)
+        far[i] = np.inf
+        hit, miss = np.where(y == y[i], far, np.inf).argmin(), np.where(y != y[i], far, np.inf).argmin()
+        w = w + 0.5 * (gap[miss] / np.sqrt(max(far[miss], 1e-12)) - gap[hit] / np.sqrt(max(far[hit], 1e-12))) * w / np.abs(w).max()
+    df = spark.createDataFrame(pd.DataFrame({"case_id": range(90), "f": x.tolist(), "y": y}))
+    assert margins.margin_weights(df, "case_id", "f", "y", 1) == pytest.approx((w * w / (w * w).max()).tolist(), abs=1e-9)
