@@ -215,6 +215,22 @@ def test_rank_margin_reads_its_whole_table(spark):
     assert [got[j + 1] for j in range(64)] == pytest.approx((w * w / (w * w).max()).tolist(), abs=1e-9)
 
 
+def test_select_margin_reads_its_whole_table(spark):
+    x, y = _margin_table()
+    same = y[:, None] == y[None]
+    gaps = [(v[:, None] - v) ** 2 for v in x.T]
+    inside, best, far = np.zeros(64, dtype=bool), 0.0, np.zeros((len(x), len(x)))
+    for _ in range(2):
+        for j in np.random.default_rng(42).permutation(64):
+            trial = far + np.where(inside[j], -1, 1) * gaps[j]
+            own = np.where(same, trial, np.inf)
+            np.fill_diagonal(own, np.inf)
+            value = (np.sqrt(np.maximum(np.where(same, np.inf, trial).min(axis=1), 0)) - np.sqrt(np.maximum(own.min(axis=1), 0))).sum() / 2
+            if value > best + 1e-9:
+                inside[j], far, best = not inside[j], trial, value
+    assert [r["feat"] for r in catalog.QUERIES["select_margin"](spark, SMALL).collect()] == (np.flatnonzero(inside) + 1).tolist()
+
+
 @pytest.mark.parametrize("classes", [2, 3])
 def test_margin_weights_by_blocks_equal_those_by_all_differences(spark, classes):
     rng = np.random.default_rng(19)
