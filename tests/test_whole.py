@@ -244,3 +244,30 @@ def test_margin_weights_by_blocks_equal_those_by_all_differences(spark, classes)
         w = w + 0.5 * (gap[miss] / np.sqrt(max(far[miss], 1e-12)) - gap[hit] / np.sqrt(max(far[hit], 1e-12))) * w / np.abs(w).max()
     df = spark.createDataFrame(pd.DataFrame({"case_id": range(90), "f": x.tolist(), "y": y}))
     assert margins.margin_weights(df, "case_id", "f", "y", 1) == pytest.approx((w * w / (w * w).max()).tolist(), abs=1e-9)
+
+
+def test_near_rows_of_a_map_equal_those_by_differences(monkeypatch):
+    rng = np.random.default_rng(20)
+    for x, near in ((np.round(rng.normal(size=(300, 2)), 1), 12), (np.repeat(rng.normal(size=(40, 5)), 6, axis=0), 4), (rng.normal(size=(90, 3)) + 1e4, 89)):
+        far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        np.fill_diagonal(far, np.inf)
+        for tile in ((256, 2048), (16, 50)):
+            monkeypatch.setattr(kernels, "TILE", tile)
+            assert (kernels._near(x, near, kernels.HERE)[0] == np.argsort(far, axis=1, kind="stable")[:, :near]).all()
+
+
+def _spread_map(spark, monkeypatch, name, options):
+    """A map of 300 rows whose work Spark's tasks share, the map of the whole matrix, and the portions that were dealt out."""
+    x = np.random.default_rng(21).normal(size=(300, 5)) * [4.0, 2.0, 1.0, 1.0, 1.0] / 4
+    whole = kernels.MAPS[name](x, 2, np.arange(300) % 3, **options)
+    monkeypatch.setattr(kernels, "NUMBERS", 20_000)
+    dealt, spread = [], kernels._Spread.__call__
+    monkeypatch.setattr(kernels._Spread, "__call__", lambda self, *a: dealt.append(len(out := spread(self, *a))) or out)
+    df = spark.createDataFrame(pd.DataFrame({"case_id": range(300), "f": x.tolist(), "label": np.arange(300) % 3})).repartition(3)
+    out = kernels.embedded(df, "case_id", "f", name, 2, "label", **options).toPandas().sort_values("case_id")
+    return np.array(out["scores"].tolist()), whole, dealt
+
+
+def test_locality_preserving_is_shared_by_tasks(spark, monkeypatch):
+    got, whole, dealt = _spread_map(spark, monkeypatch, "locality_preserving", {})
+    assert got == pytest.approx(whole, abs=1e-6 * np.abs(whole).max()) and min(dealt) > 1
