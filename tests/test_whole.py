@@ -271,3 +271,8 @@ def _spread_map(spark, monkeypatch, name, options):
 def test_locality_preserving_is_shared_by_tasks(spark, monkeypatch):
     got, whole, dealt = _spread_map(spark, monkeypatch, "locality_preserving", {})
     assert got == pytest.approx(whole, abs=1e-6 * np.abs(whole).max()) and min(dealt) > 1
+
+
+def test_laplacian_is_shared_by_tasks(spark, monkeypatch):
+    got, whole, dealt = _spread_map(spark, monkeypatch, "laplacian", {})
+    assert got == pytest.approx(whole, abs=1e-6 * np.abs(whole).max()) and min(dealt) > 1
