@@ -276,3 +276,8 @@ def test_locality_preserving_is_shared_by_tasks(spark, monkeypatch):
 def test_laplacian_is_shared_by_tasks(spark, monkeypatch):
     got, whole, dealt = _spread_map(spark, monkeypatch, "laplacian", {})
     assert got == pytest.approx(whole, abs=1e-6 * np.abs(whole).max()) and min(dealt) > 1
+
+
+def test_kernel_pca_is_shared_by_tasks(spark, monkeypatch):
+    got, whole, dealt = _spread_map(spark, monkeypatch, "kernel_pca", {"gamma": 0.5})
+    assert got == pytest.approx(whole, abs=1e-6 * np.abs(whole).max()) and min(dealt) > 1
