@@ -281,3 +281,16 @@ def test_laplacian_is_shared_by_tasks(spark, monkeypatch):
 def test_kernel_pca_is_shared_by_tasks(spark, monkeypatch):
     got, whole, dealt = _spread_map(spark, monkeypatch, "kernel_pca", {"gamma": 0.5})
     assert got == pytest.approx(whole, abs=1e-6 * np.abs(whole).max()) and min(dealt) > 1
+
+
+@pytest.mark.parametrize("fit,options", [("robust_svc", {"kind": "rbf", "gamma": 0.5})])
+def test_machine_by_tiles_has_whole_working_sets_and_the_same_scores(monkeypatch, fit, options):
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(700, 6)) / 2
+    y = np.where(x[:, 0] + rng.normal(size=700) * 0.3 > 0.1, 1.0, -1.0)
+    whole = kernels.MACHINES[fit](x, y, **options)(x)
+    sizes, pairs = [], kernels._pairs_of_violation
+    monkeypatch.setattr(kernels, "_pairs_of_violation", lambda q, *a: sizes.append(len(q)) or pairs(q, *a))
+    monkeypatch.setattr(kernels, "NUMBERS", 20_000)
+    assert kernels.MACHINES[fit](x, y, **options)(x) == pytest.approx(whole, abs=2e-3)
+    assert max(sizes) > 20_000 // 700
