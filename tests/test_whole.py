@@ -283,7 +283,7 @@ def test_kernel_pca_is_shared_by_tasks(spark, monkeypatch):
     assert got == pytest.approx(whole, abs=1e-6 * np.abs(whole).max()) and min(dealt) > 1
 
 
-@pytest.mark.parametrize("fit,options", [("robust_svc", {"kind": "rbf", "gamma": 0.5}), ("svc", {"kind": "poly", "gamma": 1.0, "degree": 2, "shift": 1.0})])
+@pytest.mark.parametrize("fit,options", [("robust_svc", {"kind": "rbf", "gamma": 0.5}), ("svc", {"kind": "poly", "gamma": 1.0, "degree": 2, "shift": 1.0}), ("one_class", {"kind": "rbf", "gamma": 0.5})])
 def test_machine_by_tiles_has_whole_working_sets_and_the_same_scores(monkeypatch, fit, options):
     rng = np.random.default_rng(22)
     x = rng.normal(size=(700, 6)) / 2
