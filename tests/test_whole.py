@@ -294,3 +294,18 @@ def test_machine_by_tiles_has_whole_working_sets_and_the_same_scores(monkeypatch
     monkeypatch.setattr(kernels, "NUMBERS", 20_000)
     assert kernels.MACHINES[fit](x, y, **options)(x) == pytest.approx(whole, abs=2e-3)
     assert max(sizes) > 20_000 // 700
+
+
+def test_range_of_a_kernel_by_its_factor_leaves_out_small_eigenvalues():
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(600, 64)) / 8
+    x[599] = x[0] + 1e-4 * rng.normal(size=64) / 8
+    z = rng.normal(size=(600, 3))
+    z -= z.mean(axis=0)
+    g = kernels.kernel(x, x, gamma=0.5)
+    g = g - g.mean(axis=0) - g.mean(axis=1)[:, None] + g.mean()
+    values, vectors = np.linalg.eigh(g)
+    p = vectors[:, values > kernels.CUT * values.max()]
+    assert p.shape[1] == 598
+    inside, u = kernels._by_factor(x, z, kernels.CUT * values.max(), gamma=0.5)
+    assert inside == pytest.approx(p @ (p.T @ z), abs=1e-6) and g @ u == pytest.approx(inside, abs=1e-6)
